@@ -101,9 +101,10 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
     The document that a budget ends in stays whole, so a source passes its budget by less than one document.
     """
-    out = mix_sources(docs, n_words(F.col("text")), F.col("source"), [F.col("doc_id")])
-    copies = F.ceil(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1))).cast("int")
-    return out.where("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    out = mix_sources(rows, F.col("size"), F.col("source"), [F.col("doc_id")])
+    copies = F.ceil(F.col("__taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    return out.where("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
 
 
 #: What mix_documents gives, for another engine.

@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
 def keep_one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The documents, with their columns, less the near-duplicates of one that stays; of rows that repeat an id and its text, one."""
-    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    rows = docs.withColumn("__f", fingerprint(F.col("text")))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__f"] == kept["__fp"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__f"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("id"), F.col("fp").alias("of")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", fingerprint(F.col("text")).alias("fp"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["fp"] == kept["of"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "fp"]).select("row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, language, linededup, mixing, neardup, quality, repetition, secrets, sentencepieces
+from . import htmltext, language, linededup, mixing, neardup, quality, repetition, search, secrets, sentencepieces
 from .common import table
 
 #: The vocabulary of op3, by its name among the installed public tokenizers.
@@ -52,6 +52,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality_rules,
         op7_quality_classifier,
         op8_source_mixing,
+        op9_top_k_search,
         op10_html_extraction,
     )
 }

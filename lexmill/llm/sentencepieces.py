@@ -99,10 +99,11 @@ class Normalizer:
                 out += piece
                 align.extend([at] * len(piece))
                 spaced = self.squeeze and byte == 32
-        if self.squeeze:
-            while out.endswith(self.space):
-                del out[-len(self.space) :], align[-len(self.space) :]
-        align.append(steps[-1][0] + steps[-1][1] if steps else 0)
+        end = steps[-1][0] + steps[-1][1] if steps else 0
+        while self.squeeze and out.endswith(self.space):
+            end = align[-len(self.space)]
+            del out[-len(self.space) :], align[-len(self.space) :]
+        align.append(end)
         return bytes(out), np.array(align, np.int64)
 
 

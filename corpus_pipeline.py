@@ -17,9 +17,8 @@ LEAST_SCORE = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from them; those without letters, and those that are like no language, go."""
-    found = docs.withColumn("__language", language.language_column(F.col("text"), language.train(docs)))
-    kept = found.where(f"__language.lang != '{language.UNKNOWN}' and __language.score >= {LEAST_SCORE}")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.select(F.struct("*").alias("row"), language.language_column(F.col("text"), language.train(docs)).alias("found"))
+    return found.where(f"found.lang != '{language.UNKNOWN}' and found.score >= {LEAST_SCORE}").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ EDITS = 2
 MIN_CHARS = 24
 #: Up to so many lines (8 bytes each), those that candidate pairs name are sent to all tasks; more of them are joined by a shuffle.
 BROADCAST_LINES = 500_000
+#: Frequent letters, which a line's sketch counts modulo 64.
+COUNTED = "eantirsohd"
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -38,14 +40,13 @@ def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(0), F.lit(i) - short) + 1, base + (F.lit(i) >= short).cast("int")
 
 
-def segment_keys(line: Column, edits: int = EDITS) -> tuple[Column, Column]:
-    """Keys of the segment index and keys that probe it, as two arrays of longs.
+def segment_keys(line: Column, own: Column, edits: int = EDITS) -> tuple[Column, Column]:
+    """Of a line of length `own`: keys of the segment index and keys that probe it, as two arrays of longs.
 
     The index has each of a line's edits + 1 segments under the line's length and the segment's number. A line within
     `edits` edits and not longer than the probing one leaves at least one segment unchanged, which the probing line has at a
     place shifted by few characters: for segment i, by no more than the edits before it and those after it allow.
     """
-    own = F.length(line)
     index, probe = [], []
     for i in range(edits + 1):
         start, size = _segment(own, i, edits)
@@ -60,6 +61,19 @@ def segment_keys(line: Column, edits: int = EDITS) -> tuple[Column, Column]:
     return F.array(*index), F.array_compact(F.array(*probe))
 
 
+def letter_sketch(line: Column) -> Column:
+    """How often each of a few letters occurs, modulo 64, in one long."""
+    count = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+    return sum((F.call_function("shiftleft", count(c).cast("long").bitwiseAND(F.lit(63)), F.lit(6 * i)) for i, c in enumerate(COUNTED)), F.lit(0).cast("long"))
+
+
+def sketches_near(a: Column, b: Column, edits: int) -> Column:
+    """Whether two sketches may be those of lines within `edits` edits: an edit changes two counts by one at most."""
+    part = lambda x, i: F.call_function("shiftright", x, F.lit(6 * i)).bitwiseAND(F.lit(63))
+    apart = lambda i: F.abs(part(a, i) - part(b, i))
+    return sum((F.least(apart(i), F.lit(64) - apart(i)) for i in range(len(COUNTED))), F.lit(0)) <= 2 * edits
+
+
 def _let(value: Column, use) -> Column:
     """use(value), with the value computed once."""
     return F.transform(F.array(value), use)[0]
@@ -134,10 +148,10 @@ def near_pairs(classes: DataFrame, lines: DataFrame, edits: int = EDITS) -> Data
     classes: a row for each different line, with its name h and its keys. lines: all eligible lines, whose text is fetched
     only for those that a pair of equal keys names.
     """
-    index = classes.select(F.explode("index").alias("key"), F.col("h").alias("a"), F.col("n").alias("n_a"))
-    probe = classes.select(F.explode("probe").alias("key"), F.col("h").alias("b"), F.col("n").alias("n_b"))
-    likely = index.join(probe, "key").where("a != b and n_b - n_a between 0 and " + str(edits) + " and (n_a < n_b or a < b)")
-    pairs = checkpoint(likely.select("a", "b").distinct())
+    index = classes.select(F.explode("index").alias("key"), F.col("h").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    probe = classes.select(F.explode("probe").alias("key"), F.col("h").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    fits = F.expr(f"a != b and n_b - n_a between 0 and {edits} and (n_a < n_b or a < b)") & sketches_near(F.col("sketch_a"), F.col("sketch_b"), edits)
+    pairs = checkpoint(index.join(probe, (index["key"] == probe["key"]) & fits).select("a", "b").distinct())
     named = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     if named.count() <= BROADCAST_LINES:
         some = lines.join(F.broadcast(named), "h", "left_semi")
@@ -145,7 +159,9 @@ def near_pairs(classes: DataFrame, lines: DataFrame, edits: int = EDITS) -> Data
         some = lines.join(named, "h", "left_semi")
     texts = checkpoint(some.groupBy("h", "h2").agg(F.min("at").alias("first"), F.first("line").alias("line")))
     of = lambda x: texts.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"), F.col("h2").alias(f"h2_{x}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(within_edits(F.col("line_a"), F.col("line_b"), edits))
+    # few bytes but much work a pair: dealt out evenly, which a join that merges small partitions would not do
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").repartition(spread).where(within_edits(F.col("line_a"), F.col("line_b"), edits))
 
 
 def kept_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -155,11 +171,13 @@ def kept_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     or if a line within `edits` edits occurs anywhere before it first does.
     """
     lines = document_lines(docs).where(eligible(F.col("line"))).select(F.struct("doc", "pos").alias("at"), "line", *identity(F.col("line")))
-    index, probe = segment_keys(F.col("line"), edits)
-    keyed = lines.select("at", "h", "h2", F.length("line").alias("n"), index.alias("index"), probe.alias("probe"))
-    # equal lines become one before anything is keyed by a segment
-    classes = checkpoint(keyed.groupBy("h", "h2").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("index").alias("index"), F.first("probe").alias("probe")))
-    pairs = near_pairs(classes, lines, edits)
+    measured = lines.withColumn("n", F.length("line"))
+    index, probe = segment_keys(F.col("line"), F.col("n"), edits)
+    keyed = measured.select("h", "h2", "n", letter_sketch(F.col("line")).alias("sketch"), index.alias("index"), probe.alias("probe"))
+    # equal lines become one before anything is keyed by a segment; both sides of the join read the same exchange
+    first = lambda c: F.first(c).alias(c)
+    pairs = near_pairs(keyed.groupBy("h", "h2").agg(first("n"), first("sketch"), first("index"), first("probe")), lines, edits)
+    classes = measured.groupBy("h", "h2").agg(F.min("at").alias("first"), F.min("n").alias("n"))
     later = pairs.select(F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("h"), F.col("h2_a").alias("h2"))).otherwise(F.struct(F.col("b").alias("h"), F.col("h2_b").alias("h2"))).alias("x"))
     gone = later.select("x.h", "x.h2").distinct()
     return classes.join(gone, ["h", "h2"], "left_anti").select("first.doc", "first.pos", F.col("n").alias("chars"))
@@ -194,17 +212,15 @@ def line_counts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The documents, with their columns, less the lines that repeat; n_chars, where it is a column, follows the text. Documents left without a word go."""
-    kept = kept_lines(docs, edits).groupBy("doc").agg(F.collect_set("pos").alias("__kept"))
-    text = F.coalesce("text", F.lit(""))
-    doc = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("text"))
-    stays = lambda line, i: ~eligible(line) | F.coalesce(F.array_contains("__kept", i), F.lit(False))
-    rows = docs.withColumn("__doc", doc)
-    rows = rows.join(kept, rows["__doc"].eqNullSafe(kept["doc"]), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
-    rows = rows.withColumn("text", left).where(F.col("text").rlike(WORD))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept_lines(docs, edits).groupBy("doc").agg(F.collect_set("pos").alias("kept"))
+    body = F.coalesce("text", F.lit(""))
+    doc = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(body).alias("text"))
+    rows = docs.select(F.struct("*").alias("row"), doc.alias("key"), body.alias("body"))
+    rows = rows.join(kept, rows["key"].eqNullSafe(kept["doc"]), "left")
+    stays = lambda line, i: ~eligible(line) | F.coalesce(F.array_contains("kept", i), F.lit(False))
+    rows = rows.withColumn("body", F.array_join(F.filter(F.split("body", "\n"), stays), "\n")).where(F.col("body").rlike(WORD))
+    changed = {"text": F.col("body"), "n_chars": F.length("body").cast("long")}
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 #: What line_counts gives, for another engine: every line against every earlier one of nearly its length.

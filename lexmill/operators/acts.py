@@ -86,7 +86,7 @@ def _values(kind: str, said: str) -> list[str]:
     """The numbers of a list or range."""
     clean = lambda v: "UNICO" if v.lower() in ("único", "unico") else v.strip("“”\"'").replace("º", "")
     out: list[str] = []
-    pieces = re.split(rf"\s*(,|\be\b|\ba\b)\s*(?={VALUES[kind]}(?!\w))", said.strip()) if kind != "alinea" else re.split(r"\s*(,|\be\b|(?<=[”\"'])\s+a\b)\s*", said.strip())
+    pieces = re.split(r"(\s*,\s*|\s+e\s+|\s+a\s+)", said.strip())
     for i in range(0, len(pieces), 2):
         v, link = clean(pieces[i]), pieces[i - 1].strip() if i else ","
         if link == "a" and out and (more := numbers_between(out[-1], v)):

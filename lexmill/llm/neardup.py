@@ -210,14 +210,106 @@ def verified(pairs: DataFrame, texts: DataFrame, signs: DataFrame, idf: np.ndarr
     return some.join(left, "a").join(right, "b").mapInPandas(similar, "a binary, b binary")
 
 
+def elements(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of the texts as elements that count once: index of the text, element (shingle and how often it came before), weight."""
+    text, s, count = shingles(texts)
+    before = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    text, s = np.repeat(text, count), np.repeat(s, count)
+    return text, mix64(s + before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), idf[frequency_bucket(s)].astype(np.float64)
+
+
+def common_elements(members: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(g, common): the elements that over half of a group's texts have, as three packed arrays: elements (ascending), their
+    weights, and how many texts miss each. There are at most twice as many as a text of the group has on average."""
+
+    def held(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            text, e, w = elements(list(part["text"]), idf)
+            own = pd.DataFrame({"g": [*map(bytes, part["g"])], "i": 0}).groupby("g")["i"].ngroup().to_numpy() if len(part) else np.zeros(0, np.int64)
+            order = np.lexsort((e, own[text]))
+            g, e, w, row = own[text][order], e[order], w[order], text[order]
+            at = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (e[1:] != e[:-1])])) if len(e) else np.zeros(0, np.int64)
+            yield pd.DataFrame({"g": part["g"].to_numpy()[row[at]], "element": e[at], "w": w[at], "n": np.diff(at, append=len(e))})
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [sorted((x["element"], x["w"], x["missing"]) for x in c) for c in part["c"]]
+            data = [b"".join(np.array(z, kind).tobytes() for z, kind in zip(zip(*r, strict=True), ("i8", "f8", "i8"), strict=True)) for r in rows]
+            yield pd.DataFrame({"g": part["g"], "common": data})
+
+    size = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    counts = members.select("g", "text").mapInPandas(held, "g binary, element long, w double, n long").groupBy("g", "element").agg(F.sum("n").alias("n"), F.max("w").alias("w"))
+    most = counts.join(size, "g").where("2 * n > size").groupBy("g").agg(F.collect_list(F.struct("element", "w", (F.col("size") - F.col("n")).alias("missing"))).alias("c"))
+    return most.mapInPandas(packed, "g binary, common binary")
+
+
+def differences(members: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """For each text (fp, g, root): how it differs from what its group has in common.
+
+    excess: the weight of its differences (elements it has beside the common ones, and those it misses) less its share of what
+    two similar texts may differ by. diffs: the differences, those it has beside first, then by how rare they are; rest: the weight of
+    each difference and those after it.
+    """
+    share = (1 - threshold) / (1 + threshold)
+
+    def differing(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            text, e, w = elements(list(part["text"]), idf)
+            cut = np.searchsorted(text, np.arange(len(part) + 1))
+            out = []
+            for i, data in enumerate(part["common"]):
+                own, weight = e[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]
+                n = len(data or b"") // 24
+                common, common_w, missing = (np.frombuffer(data or b"", kind)[k * n : (k + 1) * n] for k, kind in enumerate(("i8", "f8", "i8")))
+                beside, lacks = ~np.isin(own, common), ~np.isin(common, own)
+                first = np.lexsort((own[beside], -weight[beside]))
+                then = np.lexsort((common[lacks], missing[lacks]))
+                diff_w = np.concatenate([weight[beside][first], common_w[lacks][then]])
+                rest = np.cumsum(diff_w[::-1])[::-1]
+                out.append((float(diff_w.sum() - share * weight.sum()), np.concatenate([own[beside][first], common[lacks][then]]), rest))
+            yield part[["fp", "g", "root"]].assign(excess=[x[0] for x in out], diffs=[x[1] for x in out], rest=[x[2] for x in out])
+
+    rows = members.join(common_elements(members, idf), "g", "left").select("fp", "g", "root", "text", "common")
+    return checkpoint(rows.mapInPandas(differing, "fp binary, g binary, root binary, excess double, diffs array<long>, rest array<double>"))
+
+
+def pairs_by_differences(members: DataFrame, idf: np.ndarray, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of texts (fp, text) in groups g and classes root: links that are sure, and pairs (a, b) of different classes to be verified.
+
+    No pair at the threshold within a group is lost, and a group's pairs are not enumerated. Two texts are similar if and only if
+    the weight of what they do not share is at most their shares together. That weight is that of both's differences from
+    what the group has in common, less twice the differences they have both. So two texts whose excesses add up to
+    no more than 0 are similar, which links all these to the text of least excess; and others need common differences of half
+    that sum at least. The first common one in order then leaves that weight to both, so only differences that leave
+    enough for the least partner of another class are indexed, and few of them are what many texts lack.
+    """
+    slack = F.lit(1e-6)
+    diffs = differences(members, idf, threshold)
+    low = diffs.groupBy("g").agg(F.min("excess").alias("low"), F.min_by("fp", F.struct("excess", "fp")).alias("center"))
+    classes = diffs.groupBy("g", "root").agg(F.min("excess").alias("least")).join(low, "g").withColumn("merged", F.col("least") + F.col("low") <= 0)
+    other = classes.groupBy("g").agg(F.min(F.when(~F.col("merged"), F.col("least"))).alias("other"))
+    classes = checkpoint(classes.join(other, "g").select("g", "root", "low", "center", "merged", F.when(F.col("merged"), F.col("other")).otherwise(F.col("low")).alias("partner")))
+    placed = diffs.join(classes, ["g", "root"])
+    sure = placed.where("excess + low <= 0 and fp != center").select(F.least("fp", "center").alias("a"), F.greatest("fp", "center").alias("b"))
+    placed = placed.where("partner is not null").withColumn("need", F.greatest((F.col("excess") + F.col("partner")) / 2 - slack, slack))
+    one = F.when(F.col("merged"), F.col("center")).otherwise(F.col("root"))
+    ahead = F.filter(F.arrays_zip("diffs", "rest"), lambda d: d["rest"] >= F.col("need"))
+    posts = checkpoint(placed.select("g", "fp", one.alias("one"), "merged", "excess", F.explode(ahead).alias("d")).select("g", "fp", "one", "merged", "excess", "d.diffs", "d.rest"))
+    side = lambda x: posts.select("g", "diffs", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "one", "merged", "excess", "rest")])
+    enough = F.least("rest_a", "rest_b") >= (F.col("excess_a") + F.col("excess_b")) / 2 - slack
+    apart = F.expr("fp_a < fp_b and not (merged_a and merged_b) and one_a != one_b")
+    return sure, side("a").join(side("b"), ["g", "diffs"]).where(apart & enough).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row a document: doc_id, fp (of its text), class_id (the least doc_id of its class), kept (it is that one).
 
     Texts are near-duplicates if the weighted Jaccard similarity of their shingles, each weighing its count times its
     inverse document frequency, is at least the threshold; classes are the connected components. Equal texts are one node
     from the start, so copies make no pairs. Texts that share a band's key are candidates. In a first round, each is held
-    against the least and the greatest text of its bucket only, which joins up large groups with few pairs; after that, all
-    pairs of a bucket whose classes still differ are held against each other, so that no link between classes is lost.
+    against the least and the greatest text of its bucket only, which joins up large groups with few pairs; after that, texts
+    chained by buckets whose classes still differ are searched for all further links between classes by their differences
+    from what they have in common (pairs_by_differences), so that no link is lost and no bucket's pairs are enumerated.
 
     Null and wordless texts count as empty: equal to each other and similar to no other. Ids that are null come last: they
     are kept only if all of their class are null. Rows that repeat an id and its text have the same result. An empty table
@@ -250,11 +342,13 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     placed = held.select("key", "fp").join(roots, held["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
     placed = checkpoint(placed.join(open_keys, "key", "left_semi"))
-    other = placed.select("key", F.col("fp").alias("b"), F.col("root").alias("root_b"))
-    rest = placed.withColumnRenamed("fp", "a").join(other, "key").where("a < b and root != root_b").select("a", "b").distinct()
-    tried = stars.select("a", "b")
-    more = verified(rest.join(tried, ["a", "b"], "left_anti"), texts, signs, idf, threshold)
-    more = checkpoint(more)
+    chained = placed.join(placed.groupBy("key").agg(F.min("fp").alias("b")), "key").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+    groups = components(chained).select(F.col("node").alias("fp"), F.col("root").alias("g"))
+    open_texts = placed.select("fp", "root").distinct().join(groups, "fp")
+    members = checkpoint(texts.join(open_texts.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]).join(open_texts, "fp"))
+    sure, rest = pairs_by_differences(members, idf, threshold)
+    more = verified(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"), texts, signs, idf, threshold)
+    more = checkpoint(sure.union(more))
     if more.limit(1).count():
         roots = components(links.union(more))
     classed = nodes.select("fp", "least").join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -146,6 +146,37 @@ def test_near_duplicates_by_brute_force(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(want)) and kept.columns == docs.columns
 
 
+def test_pairs_by_differences_lose_no_link(spark):
+    """Every text in a class of its own: links and pairs together must join what brute force joins."""
+    r = random.Random(5)
+    texts = []
+    for size in (60, 200):
+        base = words(r, size, 4000).split()
+        for k in (1, 2, 3, 4, 5, 6, 7, 8, 9) * 3:
+            copy = list(base)
+            for i in r.sample(range(size), k * size // 60):
+                copy[i] = f"z{r.randrange(9999)}"
+            texts.append(" ".join(copy))
+            copy[r.randrange(size)] = "again"
+            texts.append(" ".join(copy[: r.choice([size, size - 5])] + ["more"] * r.choice([0, 12])))
+    texts += ["only one", "is on he " * 40, "is on he " * 45]
+    docs = docs_frame(spark, texts)
+    frequency, n = neardup.shingle_frequencies(docs.select("text"))
+    idf = neardup.inverse_frequencies(frequency, n)
+    fp = F.col("doc_id").cast("string").cast("binary")
+    members = docs.select(fp.alias("fp"), F.when(F.col("doc_id") < 54, "g").otherwise("h").cast("binary").alias("g"), fp.alias("root"), "text")
+    sure, pairs = (x.collect() for x in neardup.pairs_by_differences(members, idf, neardup.SIMILARITY))
+    w = neardup.weighted(texts, idf)
+    near = lambda a, b: neardup.similarity(w[a], w[b]) >= neardup.SIMILARITY
+    assert len(sure) > 3 and all(near(int(x["a"]), int(x["b"])) for x in sure)
+    root = list(range(len(texts)))
+    for x in [*sure, *(x for x in pairs if near(int(x["a"]), int(x["b"])))]:
+        a, b = sorted((root[int(x["a"])], root[int(x["b"])]))
+        root = [a if y == b else y for y in root]
+    assert root == brute_classes(texts, idf)
+    assert len(pairs) < len(texts) * (len(texts) - 1) / 8
+
+
 def test_near_duplicates_edges(edge):
     rows = neardup.near_duplicates(edge).collect()
     assert len(rows) == len(EDGE)

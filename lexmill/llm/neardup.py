@@ -22,6 +22,8 @@ BUCKETS = 1 << 20
 #: Rows of the tables of random numbers, and bits that choose a row.
 _TABLE_BITS = 14
 _CHUNK = 1 << 12
+#: Tasks that follow links to components: at least so many, and one for so many links.
+LEAST_TASKS, TASK_LINKS = 16, 500_000
 #: A pair at the threshold agrees in fewer samples than this but for 1 in 100,000.
 LEAST_AGREEING = round(SAMPLES * (SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / SAMPLES) ** 0.5))
 
@@ -171,18 +173,28 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root): root is the least node of the connected component. Each round, a node takes the least root
     of its neighbours and then that root's own, until none changes; lineage is cut in each round."""
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    roots = checkpoint(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+    # as many tasks as the links need: rounds over few links would else leave many small files
+    tasks = max(LEAST_TASKS, both.count() // TASK_LINKS)
+    both = both.coalesce(tasks)
+    roots = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
+    roots = checkpoint(roots.coalesce(tasks))
     while True:
-        near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        stepped = roots.join(near, roots["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next"))
+        near = both.join(roots, both["b"] == roots["node"]).select("a", "root").coalesce(tasks).groupBy("a").agg(F.min("root").alias("near"))
+        stepped = roots.join(near, roots["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next")).coalesce(tasks)
         jump = roots.select(F.col("node").alias("next"), F.col("root").alias("jump"))
-        new = checkpoint(stepped.join(jump, "next", "left").select("node", "root", F.coalesce(F.least("next", "jump"), "next").alias("new")))
+        new = stepped.join(jump, "next", "left").select("node", "root", F.coalesce(F.least("next", "jump"), "next").alias("new"))
+        new = checkpoint(new.coalesce(tasks))
         changed = new.where("new != root").limit(1).count()
         roots = new.select("node", F.col("new").alias("root"))
         if not changed:
             return roots
 
 
+def one_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, text) of the wanted (fp, place), each from its first document only, so that copies of a text are dealt to many tasks."""
+    return texts.join(wanted.select("fp", "place"), ["fp", "place"], "left_semi").dropDuplicates(["fp", "place"]).select("fp", "text")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, signs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Of the pairs (a, b) of fingerprints, those whose texts are similar by the threshold; the signatures rule out most others before the texts are fetched."""
 
@@ -205,7 +217,7 @@ def verified(pairs: DataFrame, texts: DataFrame, signs: DataFrame, idf: np.ndarr
     left, right = (signs.select(F.col("fp").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "ab")
     some = checkpoint(pairs.join(left, "a").join(right, "b").where(likely("sign_a", "sign_b")).select("a", "b"))
     wanted = some.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    fetched = checkpoint(texts.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
+    fetched = checkpoint(one_text(texts, wanted.join(signs, "fp")))
     left, right = (fetched.select(F.col("fp").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return some.join(left, "a").join(right, "b").mapInPandas(similar, "a binary, b binary")
 
@@ -336,7 +348,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     held = checkpoint(held.join(buckets, "key").select("key", "fp", "low", "high"))
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = held.select(F.explode(F.array(pair("fp", "low"), pair("fp", "high"))).alias("p")).select("p.a", "p.b").where("a != b").distinct()
-    signs, texts = nodes.select("fp", "sign"), texts.select("fp", "text")
+    place = lambda c: F.xxhash64(c).alias("place")
+    signs, texts = nodes.select("fp", "sign", place("least")), texts.select("fp", "text", place("doc_id"))
     links = checkpoint(verified(stars, texts, signs, idf, threshold))
     roots = components(links)
     placed = held.select("key", "fp").join(roots, held["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
@@ -345,7 +358,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     chained = placed.join(placed.groupBy("key").agg(F.min("fp").alias("b")), "key").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     groups = components(chained).select(F.col("node").alias("fp"), F.col("root").alias("g"))
     open_texts = placed.select("fp", "root").distinct().join(groups, "fp")
-    members = checkpoint(texts.join(open_texts.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]).join(open_texts, "fp"))
+    open_texts = checkpoint(open_texts)
+    members = checkpoint(one_text(texts, signs.join(open_texts, "fp")).join(open_texts, "fp"))
     sure, rest = pairs_by_differences(members, idf, threshold)
     more = verified(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"), texts, signs, idf, threshold)
     more = checkpoint(sure.union(more))

@@ -288,7 +288,7 @@ def differences(members: DataFrame, idf: np.ndarray, threshold: float) -> DataFr
 def pairs_by_differences(members: DataFrame, idf: np.ndarray, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of texts (fp, text) in groups g and classes root: links that are sure, and pairs (a, b) of different classes to be verified.
 
-    No pair at the threshold within a group is lost, and a group's pairs are not enumerated. Two texts are similar if and only if
+    No link between classes within a group is lost, and no row is made for each of a group's pairs. Two texts are similar if and only if
     the weight of what they do not share is at most their shares together. That weight is that of both's differences from
     what the group has in common, less twice the differences they have both. So two texts whose excesses add up to
     no more than 0 are similar, which links all these to the text of least excess; and others need common differences of half

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared checkpoint folder, and its place. Unlike a checkpoint, it carries no estimates or constraints
+    of its plan on; in a loop of joins those would grow with a power of the rounds."""
+    where = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where), where
+
+
+def discard(spark: SparkSession, where: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle and checkpoint files that no plan refers to any more; it notes them only when the driver's
+    garbage is collected, which may be long after. What is still referred to stays, for tasks that are lost and run again."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n: the fold of a document. A null id falls in no fold (null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, token_hashes
+from .common import checkpoint, discard, release, token_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -171,21 +171,24 @@ def fingerprint(text: Column) -> Column:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root): root is the least node of the connected component. Each round, a node takes the least root
-    of its neighbours and then that root's own, until none changes; lineage is cut in each round."""
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    of its neighbours and itself, and then that root's own (which is no greater), until none changes. Each round is written as a
+    table, which cuts lineage and tells the planner its real size; the round before goes then."""
+    spark = edges.sparkSession
+    links = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     # as many tasks as the links need: rounds over few links would else leave many small files
-    tasks = max(LEAST_TASKS, both.count() // TASK_LINKS)
-    both = both.coalesce(tasks)
-    roots = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
-    roots = checkpoint(roots.coalesce(tasks))
+    tasks = max(LEAST_TASKS, links.count() // TASK_LINKS)
+    links = links.coalesce(tasks)
+    both, _ = written(links.union(links.select("a", F.col("a").alias("b")).distinct()).coalesce(tasks))
+    roots, last = written(both.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").coalesce(tasks))
     while True:
-        near = both.join(roots, both["b"] == roots["node"]).select("a", "root").coalesce(tasks).groupBy("a").agg(F.min("root").alias("near"))
-        stepped = roots.join(near, roots["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next")).coalesce(tasks)
-        jump = roots.select(F.col("node").alias("next"), F.col("root").alias("jump"))
-        new = stepped.join(jump, "next", "left").select("node", "root", F.coalesce(F.least("next", "jump"), "next").alias("new"))
-        new = checkpoint(new.coalesce(tasks))
-        changed = new.where("new != root").limit(1).count()
-        roots = new.select("node", F.col("new").alias("root"))
+        near = both.join(roots, both["b"] == roots["node"]).select("a", "b", "root").coalesce(tasks)
+        near = near.groupBy("a").agg(F.min("root").alias("next"), F.min(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("old")).coalesce(tasks)
+        jump = roots.select(F.col("node").alias("next"), "root")
+        new, where = written(near.join(jump, "next").select(F.col("a").alias("node"), "old", "root").coalesce(tasks))
+        changed = new.where("old != root").limit(1).count()
+        roots = new.select("node", "root")
+        discard(spark, last)
+        last = where
         if not changed:
             return roots
 
@@ -351,6 +354,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     place = lambda c: F.xxhash64(c).alias("place")
     signs, texts = nodes.select("fp", "sign", place("least")), texts.select("fp", "text", place("doc_id"))
     links = checkpoint(verified(stars, texts, signs, idf, threshold))
+    release(docs.sparkSession)
     roots = components(links)
     placed = held.select("key", "fp").join(roots, held["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
@@ -360,9 +364,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     open_texts = placed.select("fp", "root").distinct().join(groups, "fp")
     open_texts = checkpoint(open_texts)
     members = checkpoint(one_text(texts, signs.join(open_texts, "fp")).join(open_texts, "fp"))
+    release(docs.sparkSession)
     sure, rest = pairs_by_differences(members, idf, threshold)
+    release(docs.sparkSession)
     more = verified(rest.join(stars.select("a", "b"), ["a", "b"], "left_anti"), texts, signs, idf, threshold)
     more = checkpoint(sure.union(more))
+    release(docs.sparkSession)
     if more.limit(1).count():
         roots = components(links.union(more))
     classed = nodes.select("fp", "least").join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

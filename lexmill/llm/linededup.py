@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint
 
-#: Edits (of code points) within which a line repeats another. Lines of fewer code points than MIN_CHARS are left as they are.
+#: Edits (of code points) within which a line of MIN_CHARS code points or more repeats another such; shorter lines repeat only equal ones.
 EDITS = 2
 MIN_CHARS = 24
 #: Up to so many lines (8 bytes each), those that candidate pairs name are sent to all tasks; more of them are joined by a shuffle.
@@ -24,8 +24,8 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def eligible(line: Column) -> Column:
-    """Whether a line takes part: long enough to be told from chance, and not blank."""
-    return (F.length(line) >= MIN_CHARS) & line.rlike(WORD)
+    """Whether a line takes part: of any length, but not blank."""
+    return line.rlike(WORD)
 
 
 def identity(line: Column) -> list[Column]:
@@ -168,15 +168,16 @@ def kept_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Where the eligible lines that stay stand: doc, pos, and chars.
 
     Lines are in order of doc_id (null last), hash of the text, and position. A line goes if an equal line stands before it,
-    or if a line within `edits` edits occurs anywhere before it first does.
+    or if it has MIN_CHARS code points and another such line within `edits` edits occurs anywhere before it first does.
     """
     lines = document_lines(docs).where(eligible(F.col("line"))).select(F.struct("doc", "pos").alias("at"), "line", *identity(F.col("line")))
     measured = lines.withColumn("n", F.length("line"))
+    long = measured.where(F.col("n") >= MIN_CHARS)
     index, probe = segment_keys(F.col("line"), F.col("n"), edits)
-    keyed = measured.select("h", "h2", "n", letter_sketch(F.col("line")).alias("sketch"), index.alias("index"), probe.alias("probe"))
+    keyed = long.select("h", "h2", "n", letter_sketch(F.col("line")).alias("sketch"), index.alias("index"), probe.alias("probe"))
     # equal lines become one before anything is keyed by a segment; both sides of the join read the same exchange
     first = lambda c: F.first(c).alias(c)
-    pairs = near_pairs(keyed.groupBy("h", "h2").agg(first("n"), first("sketch"), first("index"), first("probe")), lines, edits)
+    pairs = near_pairs(keyed.groupBy("h", "h2").agg(first("n"), first("sketch"), first("index"), first("probe")), long.select(*lines.columns), edits)
     classes = measured.groupBy("h", "h2").agg(F.min("at").alias("first"), F.min("n").alias("n"))
     later = pairs.select(F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("h"), F.col("h2_a").alias("h2"))).otherwise(F.struct(F.col("b").alias("h"), F.col("h2_b").alias("h2"))).alias("x"))
     gone = later.select("x.h", "x.h2").distinct()
@@ -186,8 +187,8 @@ def kept_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 def line_counts(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """One row a document: doc_id, n_lines (null text: one empty line), n_removed, chars_removed.
 
-    Rows that repeat an id and its text are one document and have the same result; null ids come last in the order. Lines
-    shorter than MIN_CHARS code points and blank ones stay. An empty table gives an empty result.
+    Rows that repeat an id and its text are one document and have the same result; null ids come last in the order. Blank
+    lines stay. An empty table gives an empty result.
     """
     total = (
         document_lines(docs)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Accented letters and what they fold to.
 ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
 FOLDED = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
+# All letters that are one letter with marks, and what they are without; letters that come apart in several stay.
+PLAIN = {c: p for c in map(chr, range(0x80, sys.maxunicode + 1)) if len(p := "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")) == 1 and p != c}
 # Roman numerals.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 # Label patterns with their levels, tried in order.
@@ -48,8 +53,8 @@ def norm(text: Column) -> Column:
 
 
 def norm_upper(text: Column) -> Column:
-    """For keys: single blanks, upper case, no accents; ordinal signs stay."""
-    return fold(F.upper(squeeze(text)))
+    """For keys: single blanks, upper case (a sharp s becomes SS), no marks on any letter; ordinal signs stay."""
+    return F.regexp_replace(F.translate(F.upper(squeeze(text)), "".join(PLAIN), "".join(PLAIN.values())), r"\p{Mn}", "")
 
 
 def is_upper(text: Column, most: int = 140) -> Column:

@@ -398,7 +398,7 @@ def roman_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select doc_id, upper(strip_accents(trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g')))) as folded from documents where lang <> 'de'")
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang != 'de'").select("doc_id", text.norm_upper(F.col("text")).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.norm_upper(F.col("text")).alias("folded"))
 
 
 @query("select doc_id, sha256(text) as digest from documents")

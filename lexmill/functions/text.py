@@ -34,6 +34,9 @@ CITATION = (
     r"(?iuU)\b(Lei\s+Complementar|Decreto-Lei|Lei|Decreto|Portaria|Resolução|Instrução\s+Normativa|Emenda\s+Constitucional|Medida\s+Provisória)"
     r"\s+(?:n[º°.o]*\s*)?(\d{1,3}(?:\.\d{3})+|\d+)(?:\s*/\s*(\d{4}|\d{2})|,?\s+de\s+\d{1,2}º?\s+de\s+\w+\s+de\s+(\d{4}))?"
 )
+# A word with its hyphens, and one that a hyphen cuts at a line's end.
+WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?:-[A-Za-zÀ-ÖØ-öø-ÿ]+)*"
+CUT_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]-[\p{IsWhite_Space}\x1c-\x1f]*\z"
 # Fixed value: an amount with two decimals, and one after the sign of the currency.
 MONEY = r"R\$\s*(\d{1,3}(?:\.\d{3})+(?:,\d{2})?|\d+(?:,\d{2})?)|(?<![\d,.])(\d{1,3}(?:\.\d{3})*,\d{2})(?![\d%])"
 
@@ -152,3 +155,19 @@ def join_line(text: Column, following: Column) -> Column:
     broken = text.rlike("(?u)\\p{L}-$") & following.rlike("(?u)^\\p{Ll}")
     glued = F.concat(F.when(clitic, text).otherwise(F.regexp_replace(text, "-$", "")), following)
     return F.when(broken, glued).otherwise(F.concat(text, F.lit(" "), following))
+
+
+def whole_words(lines: Column) -> Column:
+    """The words of successive lines in lower case, hyphenated ones whole, less the pieces of a word that a hyphen cuts at a line's end."""
+
+    let = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731 - computes the value once
+    cut = lambda line: F.coalesce(line.rlike(CUT_WORD), F.lit(False)).cast("int")
+
+    def words(all_lines: Column) -> Column:
+        def whole(line: Column, i: Column) -> Column:
+            ahead, behind = cut(F.get(all_lines, i - 1)), cut(line)
+            return let(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda x: F.slice(x, ahead + 1, F.greatest(F.size(x) - ahead - behind, F.lit(0))))
+
+        return F.flatten(F.transform(all_lines, whole))
+
+    return F.transform(let(lines, words), F.lower)

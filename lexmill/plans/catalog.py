@@ -337,8 +337,9 @@ def money_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select lang, word, n from (select lang, word, count(*)::bigint n from (select lang, unnest(regexp_extract_all(lower(text), '[a-zà-öø-ÿß]+')) word from documents) group by 1, 2) where n >= 20")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-öø-ÿß]+)"), 1)).alias("word")
-    return relational.bag(table(spark, sf_dir, "documents").select("lang", words), ["lang", "word"]).where("n >= 20")
+    """How often each whole word occurs in each language, without the fragments at a line-end hyphen."""
+    words = F.explode(text.whole_words(F.split("text", "\r\n|\r|\n"))).alias("word")
+    return relational.bag(table(spark, sf_dir, "documents").select("lang", words), ["lang", "word"])
 
 
 @query("""

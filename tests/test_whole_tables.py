@@ -43,3 +43,28 @@ def test_norm_upper_as_the_reference(spark):
 
     rows = spark.createDataFrame([(s,) for s in said], "s string").select(text.norm_upper(F.col("s"))).collect()
     assert [r[0] for r in rows] == [s and reference(s) for s in said]
+
+
+def reference_words(lines):
+    word, cut = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+(?:-[A-Za-zÀ-ÖØ-öø-ÿ]+)*"), re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]-$")
+    out, broken = [], False
+    for line in lines:
+        words = word.findall(line)[1 if broken else 0 :]
+        broken = bool(cut.search(line.rstrip()))
+        out += [w.lower() for w in (words[:-1] if broken else words)]
+    return out
+
+
+def test_whole_words(spark):
+    said = ["O Se-\ncretário cumpra-se À\nfim", "a um-\n\ntres", "só-\nele-\nvado nos- \x1c \n1 b-2 c", "x-\n-y z-\n", "", None]
+    rows = spark.createDataFrame([(s,) for s in said], "s string").select(text.whole_words(F.split("s", "\n"))).collect()
+    assert [r[0] for r in rows] == [s if s is None else reference_words(s.split("\n")) for s in said]
+    assert rows[0][0] == ["o", "cumpra-se", "à", "fim"]
+
+
+def test_vocabulary_has_every_word(spark, duck):
+    want = Counter()
+    for lang, body in duck.sql("select lang, text from documents where text is not null").fetchall():
+        want.update((lang, w) for w in reference_words(re.split("\r\n|\r|\n", body)))
+    rows = {(r["lang"], r["word"]): r["n"] for r in catalog.QUERIES["vocabulary"](spark, DIR).collect()}
+    assert rows == want and 1 in rows.values()

@@ -98,8 +98,12 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str, text: str, e
     return every.withColumn("until", F.date_sub(later, 1)).withColumn("is_current", later.isNull() & F.col(text).isNotNull())
 
 
-def closure(edges: DataFrame, start: str, end: str, most: int) -> DataFrame:
-    """All (start, end) that up to `most` links join, with the fewest links. Each round joins only what the last one found."""
+def closure(edges: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
+    """All (start, end) that links join, or only up to `most` links, with the fewest links.
+
+    A round doubles the depth reached, d: a shortest way of d + k links, k up to d, has a node after d links, so the pairs exactly
+    d apart are joined to all that are up to d apart. Where no pair is exactly d apart, none is farther.
+    """
     from pyspark.sql import SparkSession
 
     spark: SparkSession = edges.sparkSession
@@ -110,11 +114,14 @@ def closure(edges: DataFrame, start: str, end: str, most: int) -> DataFrame:
         spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
     links = edges.select(F.col(start).alias("s"), F.col(end).alias("e")).distinct()
     reached = links.withColumn("depth", F.lit(1)).checkpoint()
-    front = reached
-    for depth in range(2, most + 1):
-        step = front.select("s", F.col("e").alias("m")).join(links.select(F.col("s").alias("m"), "e"), "m").select("s", "e").distinct()
-        front = step.join(reached, ["s", "e"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front)
+    depth, front = 1, reached
+    while (most is None or depth < most) and not front.isEmpty():
+        step = front.select("s", F.col("e").alias("m")).join(reached.select(F.col("s").alias("m"), "e", F.col("depth").alias("k")), "m")
+        step = step.groupBy("s", "e").agg((F.min("k") + depth).alias("depth"))
+        if most is not None:
+            step = step.where(F.col("depth") <= most)
+        found = step.join(reached, ["s", "e"], "left_anti").checkpoint()
+        depth *= 2
+        front = found.where(F.col("depth") == depth)
+        reached = reached.unionByName(found)
     return reached

@@ -68,3 +68,31 @@ def test_vocabulary_has_every_word(spark, duck):
         want.update((lang, w) for w in reference_words(re.split("\r\n|\r|\n", body)))
     rows = {(r["lang"], r["word"]): r["n"] for r in catalog.QUERIES["vocabulary"](spark, DIR).collect()}
     assert rows == want and 1 in rows.values()
+
+
+def walked(edges, most=None):
+    """(start, end, fewest links), by a walk from each start."""
+    ends = defaultdict(set)
+    for a, b in edges:
+        ends[a].add(b)
+    out = set()
+    for s in list(ends):
+        seen, front, depth = set(), {s}, 0
+        while front and depth != most:
+            depth += 1
+            front = {e for m in front for e in ends.get(m, ())} - seen
+            seen |= front
+            out |= {(s, e, depth) for e in front}
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 1, 3, 5, 8])
+def test_closure_by_brute_force(spark, most):
+    edges = [(i, i + 1) for i in range(11)] + [(11, 3), (2, 9), (20, 21), (21, 20), (30, 30), (5, 40), (40, 7), (2, 9)]
+    rows = relational.closure(spark.createDataFrame(edges, "a int, b int"), "a", "b", most).collect()
+    assert sorted(map(tuple, rows)) == sorted(walked(edges, most))
+
+
+def test_dependency_closure_has_no_depth_limit(spark, duck):
+    edges = duck.sql("select p_partkey, (p_partkey * 7 + 3) % 1000 + 1 from part").fetchall()
+    assert got(spark, "dependency_closure") == Counter(walked(edges))

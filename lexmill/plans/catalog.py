@@ -169,7 +169,7 @@ from lineitem l join orders o on l.l_orderkey = o.o_orderkey where l.l_linenumbe
 def origin_note_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of the key before each row, without a join by range."""
     o = table(spark, sf_dir, "orders")
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("t"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("t"))
     rows = li.join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "t")
     notes = o.select("o_custkey", F.col("o_orderdate").alias("t"), F.to_date("o_orderdate").alias("noted"))
     return sequence.nearest_before(rows, notes, ["o_custkey"], "t", "noted", "note_date").select("l_orderkey", "l_linenumber", "note_date")
@@ -479,7 +479,7 @@ select k as p_partkey, t as wording, d as effects, (lead(d) over (partition by k
 def scd2_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacements and revocations (a null wording) close what was in force and keep it as history."""
     base = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("wording"), F.lit("1990-01-01").cast("date").alias("effects"))
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    li = table(spark, sf_dir, "lineitem")
     wording = F.when(F.col("l_returnflag") != "R", F.concat("l_linestatus", F.col("l_linenumber").cast("string")))
     last = F.max(F.struct("l_orderkey", "l_linenumber", wording.alias("w")))["w"]
     changes = li.groupBy(F.col("l_partkey").alias("p_partkey"), F.to_date("l_shipdate").alias("effects")).agg(last.alias("wording"))

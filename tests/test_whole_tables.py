@@ -96,3 +96,28 @@ def test_closure_by_brute_force(spark, most):
 def test_dependency_closure_has_no_depth_limit(spark, duck):
     edges = duck.sql("select p_partkey, (p_partkey * 7 + 3) % 1000 + 1 from part").fetchall()
     assert got(spark, "dependency_closure") == Counter(walked(edges))
+
+
+def test_origin_note_asof_has_every_line(spark, duck):
+    want = """
+    select l.l_orderkey, l.l_linenumber, (select max(o2.o_orderdate) from orders o2 where o2.o_custkey = o.o_custkey and o2.o_orderdate < l.l_shipdate)::date as note_date
+    from lineitem l join orders o on l.l_orderkey = o.o_orderkey"""
+    assert got(spark, "origin_note_asof") == Counter(duck.sql(want).fetchall())
+
+
+def test_scd2_apply_has_every_change(spark, duck):
+    base = [(k, t, None) for k, t in duck.sql("select p_partkey, p_type from part").fetchall()]
+    last = {}
+    for part, day, order, line, flag, status in duck.sql("select l_partkey, l_shipdate::date, l_orderkey, l_linenumber, l_returnflag, l_linestatus from lineitem").fetchall():
+        last[part, day] = max(last.get((part, day), (0, 0, None)), (order, line, None if flag == "R" else f"{status}{line}"), key=lambda x: x[:2])
+    want = Counter((k, t) for k, t, _ in base) + Counter((part, x[2]) for (part, _), x in last.items())
+    rows = catalog.QUERIES["scd2_apply"](spark, DIR).collect()
+    assert Counter((r["p_partkey"], r["wording"]) for r in rows) == want
+    days = defaultdict(list)
+    for r in rows:
+        days[r["p_partkey"]].append(r)
+    for part, chain in days.items():
+        chain.sort(key=lambda r: r["effects"])
+        assert [(r["until"] and (b["effects"] - r["until"]).days) for r, b in zip(chain, chain[1:] + [None])] == [1] * (len(chain) - 1) + [None]
+        assert [r["is_current"] for r in chain] == [False] * (len(chain) - 1) + [chain[-1]["wording"] is not None]
+        assert {r["effects"] for r in chain[1:]} == {d for p, d in last if p == part}

@@ -6,7 +6,7 @@ import html
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,7 +32,8 @@ CLOSES = {
 }
 _HOLDS = frozenset("article aside blockquote body div fieldset figure footer form header main nav ol section table ul dl".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>|<[!?][^>]*>""", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_TO_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -45,48 +46,92 @@ class Block:
     features: list[str]
 
 
+class Tags:
+    """Reads a page's tags in order, in time that grows with its length whatever its markup is.
+
+    A tag ends at the first > outside quotes. Once no such > follows, quotes no longer count for the rest of the page; once
+    no > follows at all, the rest is text.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quoted, self.ended = page, True, False
+
+    def after(self, at: int) -> tuple[int, int, str, str]:
+        """Start and end of the next tag or comment, its name (with / before that of an end tag; empty for a comment) and its attributes."""
+        page, n = self.page, len(self.page)
+        while not self.ended:
+            start = page.find("<", at)
+            if start < 0 or start + 1 == n:
+                break
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, n if end < 0 else end + 3, "", ""
+            name = _NAME.match(page, start + 1)
+            if not name and page[start + 1] not in "!?":
+                at = start + 1
+                continue
+            end = -1
+            if name and self.quoted:
+                found = _TO_END.match(page, name.end())
+                self.quoted = found is not None
+                end = found.end() - 1 if found else -1
+            if end < 0:
+                end = page.find(">", name.end() if name else start)
+            if end < 0:
+                self.ended = True
+                break
+            return start, end + 1, name[0].lower() if name else "", page[name.end() : end] if name else ""
+        return n, n, "", ""
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The blocks of a page with text of their own, in page order. Broken and unclosed markup closes where its container does."""
     page = page or ""
     stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     out: list[Block] = []
     linked = silent = link_chars = 0
-    at = 0
+    at, tags, n = 0, Tags(page), len(page)
 
     def flush() -> None:
         nonlocal link_chars
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 out.append(Block(text, [*stack[-1][1], f"leaf:{stack[-1][0]}", *text_features(text, link_chars)]))
             parts.clear()
         link_chars = 0
 
+    def push(tag: str, features: tuple[str, ...]) -> None:
+        nonlocal silent
+        stack.append((tag, features))
+        opened[tag] += 1
+        silent += tag in SILENT
+
     def pop(depth: int) -> None:
         nonlocal silent
         while len(stack) > depth:
-            silent -= stack[-1][0] in SILENT
-            stack.pop()
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            silent -= tag in SILENT
 
-    n = len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        begin = m.start() if m else n
+        begin, end, name, attributes = tags.after(at)
         if begin > at and not silent:
-            parts.append(page[at:begin])
+            # references are decoded run by run, so that none comes together across a tag
+            run = html.unescape(page[at:begin])
+            parts.append(run)
             if linked:
-                link_chars += begin - at
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+                link_chars += len(run)
+        at = end
+        if not name:
             continue
-        tag = m[2].lower()
-        if not m[1]:
+        tag = name.lstrip("/")
+        if name == tag:
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                at = close.end() if close else n
                 if tag in BLOCKS:
                     flush()
                 continue
@@ -96,30 +141,29 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 linked = 1
             elif tag in BLOCKS:
                 flush()
-                if closing := CLOSES.get(tag):
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in closing:
-                            pop(i)
-                        elif stack[i][0] in _HOLDS:
-                            break
-                if tag not in VOID and not m[3].endswith("/"):
-                    stack.append((tag, element_features(stack[-1][1], tag, m[3])))
-                    silent += tag in SILENT
-            elif tag in SILENT and not m[3].endswith("/"):
-                stack.append((tag, stack[-1][1]))
-                silent += 1
+                closing = CLOSES.get(tag, ())
+                i = len(stack) - 1
+                while any(opened[c] for c in closing) and stack[i][0] not in _HOLDS and i:
+                    if stack[i][0] in closing:
+                        pop(i)
+                    i -= 1
+                if tag not in VOID and not attributes.endswith("/"):
+                    push(tag, element_features(stack[-1][1], tag, attributes))
+            elif tag in SILENT and not attributes.endswith("/"):
+                push(tag, stack[-1][1])
         elif tag == "a":
             linked = 0
         elif tag in BLOCKS or tag in SILENT:
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == tag:
+                        pop(i)
+                        break
     flush()
-    last = len(out) - 1
-    for i in (0, last) if out else ():
-        out[i].features.append("first" if i == 0 else "last")
+    if out:
+        out[0].features.append("first")
+        out[-1].features.append("last")
     return out
 
 
@@ -310,13 +354,16 @@ def labelled_page(seed: int) -> str:
         body = f"<div{name('main')}>{body}</div>"
     if r.random() < 0.25:
         body = f"<{(x := r.choice(('main', 'div', 'section')))}{name('main')}>{body}</{x}>"
-    ahead = [boilerplate(k) for k in ("notice", "head", "nav", "form", "ad") if r.random() < 0.5]
-    after = [boilerplate(k) for k in ("share", "ad", "comments", "side", "form", "foot") if r.random() < 0.5]
+    # one page in five is nothing but its text
+    bare = r.random() < 0.2
+    ahead = [boilerplate(k) for k in ("notice", "head", "nav", "form", "ad") if not bare and r.random() < 0.5]
+    after = [boilerplate(k) for k in ("share", "ad", "comments", "side", "form", "foot") if not bare and r.random() < 0.5]
     if r.random() < 0.3 and after:
         body = f"<div{name('main') if r.random() < 0.5 else ' class=wrapper'}>{body}{''.join(after[:-1])}</div>"
         after = after[-1:]
     r.shuffle(ahead)
-    return f"<html><head><title>{words(3)}</title></head><body>{''.join(ahead)}{body}{''.join(after)}</body></html>"
+    body = f"{''.join(ahead)}{body}{''.join(after)}"
+    return body if bare and r.random() < 0.5 else f"<html><head><title>{words(3)}</title></head><body>{body}</body></html>"
 
 
 def labelled_blocks(seed: int) -> tuple[list[Block], list[int]]:
@@ -351,6 +398,11 @@ def text_column(page: Column, field: Field | None = None) -> Column:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """One row a page: page_id, url, text, n_chars. An empty table gives an empty result; repeated rows repeat."""
+    """One row a page: page_id, url, text, n_chars. An empty table gives an empty result; repeated rows repeat.
+
+    A null or empty page, and one without main text, has an empty text. Null ids and addresses stay null. Time grows with a
+    page's length whatever its markup is: unclosed tags, quotes and comments end with the page. Of labellings that score
+    alike, the one with less text is taken. Other columns are not read.
+    """
     out = pages.select("page_id", "url", text_column(F.col("html")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

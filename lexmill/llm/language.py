@@ -21,8 +21,8 @@ UNKNOWN = "und"
 #: Code points hashed at a time, so that a very long text needs no more memory than this.
 _STRETCH = 1 << 20
 _BLANK = 32
-#: Whether a code point is a letter; those past the table are ideographs.
-_LETTER = np.array([chr(i).isalpha() for i in range(0x2_0000)], bool)
+#: Whether a code point is a letter.
+_LETTER = np.array([chr(i).isalpha() for i in range(0x11_0000)], bool)
 
 
 def ngram_counts(text: str | None) -> np.ndarray | None:
@@ -32,14 +32,15 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     tail = np.array([_BLANK, _BLANK], np.uint32)
     for at in range(0, len(text), _STRETCH):
         code = np.frombuffer(text[at : at + _STRETCH].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = _LETTER[np.minimum(code, np.uint32(len(_LETTER) - 1))] | (code >= len(_LETTER))
+        letter = _LETTER[code]
         some = some or bool(letter.any())
-        code = np.concatenate([tail, np.where(letter, code, np.uint32(_BLANK))])
+        code = np.where(letter, code, np.uint32(_BLANK))
+        # runs of blanks count once, and there is a blank before the text
+        keep = code != _BLANK
+        keep[1:] |= code[:-1] != _BLANK
+        keep[0] |= tail[-1] != _BLANK
+        code = np.concatenate([tail, code[keep]])
         tail = code[-2:]
-        # runs of blanks count once
-        keep = np.ones(len(code), bool)
-        keep[1:] = (code[1:] != _BLANK) | (code[:-1] != _BLANK)
-        code = code[keep]
         # multilinear hashes, of which the upper bits are the bucket
         one = code[2:] * np.uint32(0x9E3779B1) + np.uint32(0x165667B1)
         two = one + code[1:-1] * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F)
@@ -190,7 +191,11 @@ def language_column(text: Column, model: LanguageModel) -> Column:
 
 
 def identify_documents(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """One row a document: doc_id, held_out, lang_pred, score. An empty table gives an empty result; repeated rows repeat."""
+    """One row a document: doc_id, held_out, lang_pred, score. An empty table gives an empty result; repeated rows repeat.
+
+    A text that is null or has no letter is `und` with a score of 0. A row whose doc_id is null is not held out. Of equally
+    likely languages, the first by name is given. Texts are read in stretches, so one of any length needs little memory.
+    """
     model = model or train(docs)
     out = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), language_column(F.col("text"), model).alias("__l"))
     return out.select("doc_id", "held_out", F.col("__l.lang").alias("lang_pred"), F.col("__l.score").alias("score"))

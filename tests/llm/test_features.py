@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from lexmill.llm import language, quality
+from lexmill.llm import language, quality, search
 
 
 def plain_ngrams(text):
@@ -60,3 +60,33 @@ def test_sums_of_contexts(spark):
                     for e in range(quality.ENTRIES):
                         want[x, quality._PLACE[b[j], e]] += quality._SIGN[b[j], e]
     assert np.allclose(sums, want) and (counts == n).all()
+
+
+def test_search_takes_rows_as_they_come(spark):
+    long = "ab" * 40
+    rows = [(1, "x y " + long, "a"), (1, "x y " + long, "a"), (None, "x z", "b"), (2, None, "c"), (3, "", "d"), (4, long[40:] + "ba" * 20 + " q", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = search.search(docs, docs).collect()
+    assert {r["query_id"] for r in got} == {1, None, 4} and len({(r["query_id"], r["rank"]) for r in got}) == len(got)
+    # the two rows of one query count once, and both documents of id 1 are found
+    of = [(r["doc_id"], round(r["score"], 6)) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 1]
+    assert [d for d, _ in of] == [1, 1, None] and of[0][1] == of[1][1] > of[2][1] > 0
+    assert not set(search.terms(["a" * 64 + "b" * 64])[0]) & set(search.terms(["b" * 64 + "a" * 64])[0])
+
+
+def test_pruning_changes_no_result(monkeypatch):
+    r = random.Random(6)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    texts = [" ".join(f"w{int(r.random() ** 3 * 60)}" for _ in range(r.randrange(0, 30))) for _ in range(300)]
+    shard = search.Shard(search.packed(list(range(300)), texts), 12.0)
+    words, weights = shard.terms[::3].copy(), np.linspace(1, 3, len(shard.terms[::3]))
+    everything = {}
+    text, t, n = search.counted(texts)
+    length = np.bincount(text, n, minlength=300)
+    for d, w, c in zip(text, t, n, strict=True):
+        if w in words:
+            everything[d] = everything.get(d, 0) + weights[list(words).index(w)] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length[d] / 12.0))
+    want = sorted(everything.items(), key=lambda x: (-x[1], x[0]))[:7]
+    docs, scores = shard.top(words, weights, 7)
+    assert docs.tolist() == [d for d, _ in want] and np.allclose(scores, [s for _, s in want])
+    assert len(shard.top(words, weights, 7, want[0][1] * 2)[0]) == 0

@@ -21,7 +21,7 @@ PREDICTED_FROM = 0.3
 #: Buckets of a chunk in which sums of contexts are passed on.
 _CHUNK = 64
 #: Characters of the texts that are hashed together, at most, unless one is longer.
-_TOGETHER = 1_000_000
+_TOGETHER = 2_000_000
 
 _rng = np.random.default_rng(11)
 _PLACE = np.argsort(_rng.random((BUCKETS, WIDTH)), axis=1)[:, :ENTRIES].astype(np.int64)
@@ -44,6 +44,17 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint32(BUCKETS - 1)).astype(np.int64), text
 
 
+def context_pairs(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word with each word up to WINDOW places before or after it in the same text."""
+    left, right = [], []
+    for d in range(1, min(WINDOW, len(words) - 1) + 1):
+        near = text[:-d] == text[d:]
+        left.append(words[:-d][near])
+        right.append(words[d:][near])
+    none = [np.zeros(0, words.dtype)]
+    return np.concatenate([*left, *right, *none]), np.concatenate([*right, *left, *none])
+
+
 def context_sums(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For each word bucket, the sum of the index vectors of the words around it, and its count, over all rows.
 
@@ -58,13 +69,10 @@ def context_sums(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for some in groups(list(part.iloc[:, 0])):
                 b, text = words(some)
                 count += np.bincount(b, minlength=BUCKETS)
-                for d in range(1, WINDOW + 1):
-                    near = text[:-d] == text[d:] if len(text) > d else np.zeros(0, bool)
-                    left, right = b[: len(near)][near], b[d:][near]
-                    for own, other in ((left, right), (right, left)):
-                        at = own * WIDTH
-                        for e in range(ENTRIES):
-                            np.add.at(total, at + _PLACE[other, e], _SIGN[other, e])
+                own, other = context_pairs(b, text)
+                # one weighted count adds up all entries of the index vectors
+                at = (own[:, None] * WIDTH + _PLACE[other]).ravel()
+                total += np.bincount(at, _SIGN[other].ravel(), minlength=BUCKETS * WIDTH)
         if count.any():
             both = np.concatenate([total.reshape(BUCKETS, WIDTH), count[:, None]], axis=1)
             yield pd.DataFrame({"chunk": range(BUCKETS // _CHUNK), "sums": [both[i : i + _CHUNK].astype(np.float32).tobytes() for i in range(0, BUCKETS, _CHUNK)]})
@@ -221,7 +229,11 @@ def score_column(text: Column, model: QualityModel) -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None) -> DataFrame:
-    """One row a document: doc_id, held_out, score, predicted. An empty table gives an empty result; repeated rows repeat."""
+    """One row a document: doc_id, held_out, score, predicted. An empty table gives an empty result; repeated rows repeat.
+
+    Null and empty texts have the score of a text without words. A row whose doc_id is null is not held out. Of texts that
+    score alike, nothing depends on the order. Only doc_id and text are read, whatever else the table's columns are called.
+    """
     model = model or train(docs, labels)
     out = docs.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), score_column(F.col("text"), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICTED_FROM).cast("int"))

@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a folder of one's own only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a folder of one's own only where it is unset and Spark is on one machine."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lexmill-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -60,8 +62,8 @@ def release(spark: SparkSession) -> None:
 
 
 def remainder(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as decimal text, modulo n: the fold of a document. A null id falls in no fold (null)."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
+    """crc32 of the id as decimal text, modulo n: the fold of a document; -1, which is no fold, for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n), F.lit(-1))
 
 
 def n_words(text: Column) -> Column:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import roman_value
+from .text import roman, roman_value
 
 PARTS = ["article", "paragraph", "inciso", "alinea", "item"]
 
@@ -42,36 +41,20 @@ def sort_key(number: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), suffix.alias("suffix"))
 
 
-def _roman(n: int) -> str:
-    """Tens of a place take the place's signs in the pattern of the ones."""
-    shapes = ["", "a", "aa", "aaa", "ab", "b", "ba", "baa", "baaa", "ac"]
-    places = zip((1000, 100, 10, 1), ("M  ", "CDM", "XLC", "IVX"), strict=True)
-    return "".join(shapes[n // p % 10].translate(str.maketrans("abc", signs)) for p, signs in places)
+def expand(first: Column, last: Column, most: int = 100) -> Column:
+    """array<string>, the numbers of a range: 3 to 7, I to III, a to d, 39-A to 39-C; null for one that is backwards, of `most` or more, or of mixed kinds."""
+    both = lambda p: first.rlike(p) & last.rlike(p)
+    head, tail = (lambda x: F.regexp_extract(x, "^(.*)-[^-]*$", 1)), (lambda x: F.regexp_extract(x, "-([^-]*)$", 1))
 
+    def span(low: Column, high: Column, name) -> Column:  # noqa: ANN001
+        fits = (high >= low) & (high - low < most)
+        return F.when(fits, F.transform(F.sequence(low, F.when(fits, high).otherwise(low)), name))
 
-_ROMAN = {_roman(n): n for n in range(1, 400)}
-
-
-def numbers_between(first: str | None, last: str | None) -> list[str] | None:
-    """The numbers of a range: 3 to 7, I to III, a to d, 39-A to 39-C; None for one that is backwards, of 100 or more, or of mixed kinds."""
-    if not first or not last:
-        return None
-    if "-" in first and "-" in last:
-        (a, x), (b, y) = first.rsplit("-", 1), last.rsplit("-", 1)
-        return [f"{a}-{chr(c)}" for c in range(ord(x), ord(y) + 1)] if a == b and len(x) == len(y) == 1 and x <= y else None
-    for numbers, name in ((str.isdigit, str), (_ROMAN.__contains__, _roman), (lambda v: len(v) == 1 and v.islower(), lambda n: chr(n + 96))):
-        if numbers(first) and numbers(last):
-            value = int if name is str else _ROMAN.get if name is _roman else lambda v: ord(v) - 96
-            a, b = value(first), value(last)
-            return [name(n) for n in range(a, b + 1)] if 0 <= b - a < 100 else None
-    return None
-
-
-def expand(first: Column, last: Column) -> Column:
-    """array<string> by numbers_between."""
-
-    @F.pandas_udf("array<string>")
-    def expanded(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([numbers_between(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-    return expanded(first, last)
+    letters = span(F.ascii(first), F.ascii(last), F.char)
+    suffixes = F.when(head(first) == head(last), span(F.ascii(tail(first)), F.ascii(tail(last)), lambda c: F.concat(head(first), F.lit("-"), F.char(c))))
+    return (
+        F.when(both(r"^\d{1,9}$"), span(first.cast("int"), last.cast("int"), lambda n: n.cast("string")))
+        .when(both("^[IVXLCDM]+$"), span(roman_value(first), roman_value(last), roman))
+        .when(both("^[a-z]$"), letters)
+        .when(both("^.*-[A-Z]$"), suffixes)
+    )

@@ -13,15 +13,21 @@ ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍ
 FOLDED = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
 # All letters that are one letter with marks, and what they are without; letters that come apart in several stay.
 PLAIN = {c: p for c in map(chr, range(0x80, sys.maxunicode + 1)) if len(p := "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")) == 1 and p != c}
-# Roman numerals.
+# Roman numerals, and those of each digit by its place.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+ROMAN_PLACES = [
+    ["", "M", "MM", "MMM"],
+    ["", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"],
+    ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"],
+    ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"],
+]
 # Label patterns with their levels, tried in order.
 LABELS = [
-    ("article", 0, r"^Art(?:igo)?\.?\s*(\d+)\s*[ºo°]?(?:-([A-Z]))?"),
-    ("paragraph", 1, r"^§\s*(\d+)\s*[ºo°]?(?:-([A-Z]))?"),
-    ("sole", 1, r"^Par[áa]grafo\s+[úu]nico"),
-    ("inciso", 2, r"^([IVXLCDM]+)(?:-([A-Z]))?\s*[-–—]"),
-    ("alinea", 3, r"^([a-z])\s*\)"),
+    ("article", 0, r"^Art(?:igo)?\.?\s*(\d+)[º°o]?(?:[-–]([A-Z]{1,3})(?![A-Za-zÀ-ÿ]))?\s*\.?\s*(?:[-–]\s*)?"),
+    ("paragraph", 1, r"^§\s*(\d+)[º°o]?(?:[-–]([A-Z]{1,3})(?![A-Za-zÀ-ÿ]))?\s*\.?\s*(?:[-–]\s*)?"),
+    ("sole", 1, r"^Par[aá]grafo\s+[uú]nico\s*[.:-]?\s*"),
+    ("inciso", 2, r"^([IVXLCDM]+)(?:-([A-Z]))?\s*[-–—]\s*"),
+    ("alinea", 3, r"^([a-z])\s*\)\s*"),
     ("item", 4, r"^(\d+(?:\.\d+)*)\s*[.)]\s+"),
 ]
 # Kinds of acts and the name each spelling has in a key.
@@ -37,8 +43,9 @@ CITATION = (
 # A word with its hyphens, and one that a hyphen cuts at a line's end.
 WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?:-[A-Za-zÀ-ÖØ-öø-ÿ]+)*"
 CUT_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]-[\p{IsWhite_Space}\x1c-\x1f]*\z"
-# Fixed value: an amount with two decimals, and one after the sign of the currency.
-MONEY = r"R\$\s*(\d{1,3}(?:\.\d{3})+(?:,\d{2})?|\d+(?:,\d{2})?)|(?<![\d,.])(\d{1,3}(?:\.\d{3})*,\d{2})(?![\d%])"
+# An amount after the sign of the currency, and one with two decimals; a percentage.
+MONEY = r"R\$\s*(-?(?:\d{1,3}(?:\.\d{3})+|\d+)(?:,\d{2})?)|((?<!\d)-?(?:\d{1,3}(?:\.\d{3})+|\d+),\d{2}(?![\d%]))"
+PERCENT = r"-?\d+(?:\.\d{3})*,\d+\s*%"
 
 
 def fold(text: Column) -> Column:
@@ -87,13 +94,17 @@ def act_kind(kind: Column) -> Column:
 
 
 def citation(text: Column) -> Column:
-    """struct<kind, number, year, key> of the first citation; key is kind|number|year."""
-    part = lambda i: F.regexp_extract(text, CITATION, i)
-    year = F.coalesce(F.nullif(part(3), F.lit("")), F.nullif(part(4), F.lit("")))
-    kind, number = act_kind(part(1)), act_number(part(2))
-    return F.when(
-        part(2) != "", F.struct(kind.alias("kind"), number.alias("number"), full_year(year).alias("year"), F.concat_ws("|", kind, number, full_year(year)).alias("key"))
-    )
+    """struct<kind, number, year, key> of the first citation; key is kind|number|year. See citations for all of a text."""
+
+    def made(p: Column) -> Column:
+        year = full_year(F.coalesce(F.nullif(p["y"], F.lit("")), F.nullif(p["z"], F.lit(""))))
+        known = F.struct(act_kind(p["kind"]).alias("kind"), act_number(p["n"]).alias("number"), year.alias("year"))
+        whole = lambda k: F.struct(k["kind"].alias("kind"), k["number"].alias("number"), k["year"].alias("year"), F.concat_ws("|", k["kind"], k["number"], k["year"]).alias("key"))
+        return F.when(p["n"] != "", F.transform(F.array(known), whole)[0])
+
+    # the pattern is matched once a group, whatever use is made of the parts
+    parts = F.struct(*(F.regexp_extract(text, CITATION, i).alias(n) for i, n in enumerate(("kind", "n", "y", "z"), 1)))
+    return F.transform(F.array(parts), made)[0]
 
 
 def ordinal(number: Column) -> Column:
@@ -110,37 +121,41 @@ def roman_value(text: Column) -> Column:
 
 
 def roman(n: Column) -> Column:
-    """The roman numeral of 1 to 3999, digit by digit: the tens of a place take the place's signs in the pattern of the ones."""
-    places = [("M", "", ""), ("C", "D", "M"), ("X", "L", "C"), ("I", "V", "X")]
-    shapes = ["", "a", "aa", "aaa", "ab", "b", "ba", "baa", "baaa", "ac"]
-    out = []
-    for k, (one, five, ten) in enumerate(places):
-        digit = F.floor(n / 10 ** (3 - k)).cast("int") % 10
-        out.append(F.element_at(F.array(*(F.lit(s.replace("a", one).replace("b", five).replace("c", ten)) for s in shapes)), digit + 1))
-    return F.concat(*out)
+    """The roman numeral of 1 to 3999, place by place."""
+    digit = lambda k: (F.floor(n / 10 ** (3 - k)).cast("int") % 10) + 1
+    return F.concat(*(F.element_at(F.array(*map(F.lit, signs)), digit(k)) for k, signs in enumerate(ROMAN_PLACES)))
 
 
 def label(text: Column) -> Column:
-    """struct<kind, level, number> of the label that a line begins with, the first pattern that fits; null without one."""
-    line = F.regexp_replace(F.ltrim(text), "^[\"“”'‘]+\\s*", "")
+    """struct<kind, level, number, prefix, end> of the label that a line begins with, the first pattern that fits; null without one.
+
+    prefix is the label as it stands and end the characters that it takes, with what divides it from the text, of the line
+    without the blanks and quotation marks before it.
+    """
+    line = F.regexp_replace(F.trim(text), "^[\"“”]+\\s*", "")
     out = None
     for kind, level, pattern in LABELS:
         flagged = f"(?u){pattern}" if kind in ("inciso", "alinea") else f"(?iu){pattern}"
         if kind == "sole":
             number = F.lit("UNICO")
         else:
-            main, suffix = F.regexp_extract(line, flagged, 1), F.regexp_extract(line, flagged, 2) if "(?:-(" in pattern else F.lit("")
+            main, suffix = F.regexp_extract(line, flagged, 1), F.regexp_extract(line, flagged, 2) if level < 3 else F.lit("")
             main = F.regexp_replace(main, "^0+(?=.)", "") if level < 2 else main
             number = F.concat(main, F.when(suffix != "", F.concat(F.lit("-"), F.upper(suffix))).otherwise(""))
-        found = F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), number.alias("number"))
+        whole = F.regexp_extract(line, flagged, 0)
+        found = F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), number.alias("number"), F.trim(whole).alias("prefix"), F.length(whole).alias("end"))
         out = F.when(line.rlike(flagged), found) if out is None else out.when(line.rlike(flagged), found)
     return out
 
 
 def money(text: Column) -> Column:
-    """The amounts of a text, as they are written."""
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(MONEY), 1).alias("a"), F.regexp_extract_all(text, F.lit(MONEY), 2).alias("b"))
-    return F.transform(both, lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"]))
+    """The amounts of a text, as they are written with their signs, line by line; a line that is a percentage has none."""
+
+    def of(line: Column) -> Column:
+        both = F.arrays_zip(F.regexp_extract_all(line, F.lit(MONEY), 1).alias("a"), F.regexp_extract_all(line, F.lit(MONEY), 2).alias("b"))
+        return F.when(line.rlike(rf"^\s*{PERCENT}\s*$"), F.array().cast("array<string>")).otherwise(F.transform(both, lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"])))
+
+    return F.flatten(F.transform(F.split(text, "\r\n|\r|\n"), of))
 
 
 def title_case(text: Column) -> Column:

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import product
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import brazilian
-from ..functions.keys import numbers_between
+from ..functions.keys import PARTS, expand
+from .sequence import fill_from_next, islands
 
 # Words for the levels of a reference, small to large.
 UNITS = [("item", r"ite(?:m|ns)"), ("alinea", r"al[íi]neas?"), ("inciso", r"incisos?"), ("paragraph", r"§§?|par[áa]grafos?"), ("article", r"arts?\.|artigos?")]
 # What a number of each level looks like.
 VALUES = {"item": r"\d+(?:\.\d+)*", "alinea": r"[“\"']?[a-z][”\"']?", "inciso": r"[IVXLCDM]+(?:-[A-Z])?", "paragraph": r"(?:\d+º?(?:-[A-Z])?|[úu]nico)", "article": r"\d+º?(?:-[A-Z])?"}
-_UNIT = re.compile("|".join(rf"(?P<{k}>\b{w}|{w})\s*(?P<{k}_v>{VALUES[k]}(?:\s*(?:,|\be\b|\ba\b)\s*{VALUES[k]}(?![\w]))*)(?!\w)" for k, w in UNITS))
+_UNIT = re.compile("|".join(rf"(?:\b(?:{w})|{w})\s*(?P<{k}_v>{VALUES[k]}(?:\s*(?:,|\be\b|\ba\b|\bà\b|\bao\b|\baté\b)\s*{VALUES[k]}(?![\w]))*)(?!\w)" for k, w in UNITS))
 
 # The patterns by which a line's role is known, in order; the first that fits counts.
 ROLES = [
@@ -82,51 +82,63 @@ def classify(lines: DataFrame, key: str) -> DataFrame:
     return dealt.mapInPandas(read, f"{key} {kind}, seq int, role string")
 
 
-def _values(kind: str, said: str) -> list[str]:
-    """The numbers of a list or range."""
-    clean = lambda v: "UNICO" if v.lower() in ("único", "unico") else v.strip("“”\"'").replace("º", "")
-    out: list[str] = []
-    pieces = re.split(r"(\s*,\s*|\s+e\s+|\s+a\s+)", said.strip())
-    for i in range(0, len(pieces), 2):
-        v, link = clean(pieces[i]), pieces[i - 1].strip() if i else ","
-        if link == "a" and out and (more := numbers_between(out[-1], v)):
-            out += more[1:]
-            continue
-        out.append(v)
-    return out
-
-
-def parse_references(text: str | None) -> list[dict[str, str]]:
-    """The targets of a text: units joined by of or in from small to large, or by commas from large to small, are one reference; lists multiply."""
-    chains: list[dict[str, list[str]]] = []
-    order, end, level = [k for k, _ in UNITS], None, -1
-    for m in _UNIT.finditer(text or ""):
-        kind = next(k for k, _ in UNITS if m[k])
-        at = order.index(kind)
-        gap = text[end : m.start()] if end is not None else "."
-        joined = at > level and re.fullmatch(r"\s*,?\s*(?:d[oae]s?|n[oa]s?)\s*", gap) or at < level and re.fullmatch(r"\s*,?\s*", gap)
-        if not joined or kind in chains[-1]:
-            chains.append({})
-        chains[-1][kind] = _values(kind, m[f"{kind}_v"])
-        end, level = m.end(), at
-    # a reference without an article takes the first one of the next reference, else of the last
-    for i, c in enumerate(chains):
-        if "article" not in c:
-            near = next((x["article"][:1] for x in chains[i + 1 :] if "article" in x), None) or next((x["article"][:1] for x in reversed(chains[:i]) if "article" in x), [""])
-            c["article"] = near
-    names = order[::-1]
-    return [dict(zip(names, t, strict=True)) for c in chains for t in product(*(c.get(n, [""]) for n in names))]
-
-
-def references(text: Column) -> Column:
-    """array<struct<article, paragraph, inciso, alinea, item>>; null has none."""
-
-    @F.pandas_udf("array<struct<article:string,paragraph:string,inciso:string,alinea:string,item:string>>")
-    def parsed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([parse_references(t) for t in part], dtype=object)
+UNIT_SCHEMA = "array<struct<kind:string,level:int,said:string,gap:string>>"
+
+
+def units(text: Column) -> Column:
+    """array<struct<kind, level, said, gap>>: the units of references in order, what is said of each, and the text since the one before."""
+
+    @F.pandas_udf(UNIT_SCHEMA)
+    def found(texts: pd.Series) -> pd.Series:
+        def of(t: str | None) -> list[dict]:
+            out, end = [], 0
+            for m in _UNIT.finditer(t or ""):
+                kind = m.lastgroup.removesuffix("_v")
+                out.append({"kind": kind, "level": PARTS.index(kind), "said": m[f"{kind}_v"], "gap": t[end : m.start()]})
+                end = m.end()
+            return out
+
+        return pd.Series([of(t) for t in texts], dtype=object)
+
+    return found(text)
+
 
-    return parsed(text)
+def unit_values(said: Column) -> Column:
+    """array<string>: the numbers of a list, ranges expanded; a range that is none gives both its ends."""
+    parts = F.split(F.regexp_replace(said, r"\s*,\s*|\s+e\s+", ","), ",")
+    clean = lambda v: F.when(F.lower(v).isin("único", "unico"), "UNICO").otherwise(F.regexp_replace(v, "[“”\"'º]", ""))
+
+    def of(part: Column) -> Column:
+        ends = F.transform(F.split(part, r"\s+(?:a|à|ao|até)\s+"), lambda x: clean(F.trim(x)))
+        return F.when(F.size(ends) == 2, F.coalesce(expand(ends[0], ends[1]), ends)).otherwise(ends)
+
+    return F.flatten(F.transform(parts, of))
+
+
+def references(rows: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, article, paragraph, inciso, alinea, item): the targets that a text refers to.
+
+    A unit goes on with the reference of the one before if it is larger and joined by of or in, or smaller and after a comma,
+    and if that has no unit of its kind; runs of such units are islands. Lists within a reference multiply. One without an
+    article takes that of the next reference of the text that has one, else of the last.
+    """
+    rows = rows.select(*key, F.posexplode(units(F.col(text))).alias("at", "u")).select(*key, "at", "u.*")
+    order = Window.partitionBy(*key).orderBy("at")
+    before = F.lag("level").over(order)
+    larger = (F.col("level") < before) & F.col("gap").rlike(r"^\s*,?\s*(?:d[oae]s?|n[oa]s?)\s*$")
+    smaller = (F.col("level") > before) & F.col("gap").rlike(r"^\s*,?\s*$")
+    joined = F.coalesce(larger | smaller, F.lit(False))
+    # within a run that goes up and then down a kind may come again: there a reference begins
+    runs = islands(rows.withColumn("__joined", joined), key, ["at"], ~joined, "__run")
+    again = F.row_number().over(Window.partitionBy(*key, "__run", "kind").orderBy("at")) > 1
+    runs = islands(runs.withColumn("__again", again), key, ["at"], ~F.col("__joined") | F.col("__again"), "__ref")
+    pick = lambda p: F.first(F.when(F.col("kind") == p, unit_values(F.col("said"))), ignorenulls=True).alias(p)
+    refs = runs.groupBy(*key, "__ref").agg(*map(pick, PARTS))
+    refs = refs.withColumn("__first", F.when(F.col("article").isNotNull(), F.slice("article", 1, 1)))
+    refs = fill_from_next(refs, key, ["__ref"], "__first", "__donor").withColumn("article", F.coalesce("article", "__donor"))
+    for p in PARTS:
+        refs = refs.withColumn(p, F.explode(F.coalesce(p, F.array(F.lit("")))))
+    return refs.select(*key, *PARTS)
 
 
 def assign_effects(ops: DataFrame, rules: DataFrame, key: str, default: str, fallback: Column) -> DataFrame:

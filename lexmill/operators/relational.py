@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,9 +16,10 @@ def unique_or_nothing(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def by_precedence(tables: list[DataFrame], keys: list[str], value: str) -> DataFrame:
-    """One value a key, from the first table that has it: partial aggregation, no window."""
+    """One value a key, from the first table that has it, and of several there the least: partial aggregation, no window."""
     ranked = [t.select(*keys, value).withColumn("__rank", F.lit(i)) for i, t in enumerate(tables)]
-    return reduce(DataFrame.unionByName, ranked).groupBy(*keys).agg(F.min_by(value, "__rank").alias(value), F.min("__rank").alias("source"))
+    best = reduce(DataFrame.unionByName, ranked).groupBy(*keys).agg(F.min(F.struct("__rank", value)).alias("__best"))
+    return best.select(*keys, F.col("__best")[value].alias(value), F.col("__best.__rank").alias("source"))
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -40,18 +42,17 @@ def tiered_lookup(rows: DataFrame, table: DataFrame, tiers: list[list[str]], val
 
 
 def contained_in(outer: DataFrame, inner: DataFrame, equal: list[str], prefix: list[str]) -> DataFrame:
-    """Pairs of rows where the outer key is a prefix of the inner: equal on `equal`, and each of `prefix` equal or null in outer.
+    """Pairs of rows where the outer key holds the inner: equal on `equal`, and each of `prefix` equal or null in outer.
 
-    Parts are null from some depth on, so an outer key of depth d joins by equality on its d parts: one hash join for each
-    depth, instead of a comparison of all pairs.
+    Any part of an outer key may be null: article 5, inciso II without a paragraph holds the inciso of each paragraph. Outer
+    keys with the same parts set join by equality on those, one hash join for each set that occurs (few), instead of a
+    comparison of all pairs.
     """
+    outer = outer.withColumn("__mask", sum((F.when(F.col(f"o_{p}").isNotNull(), 1 << i).otherwise(0) for i, p in enumerate(prefix)), F.lit(0)))
     out = None
-    for d in range(len(prefix) + 1):
-        some = outer
-        for i, p in enumerate(prefix):
-            some = some.where(F.col(f"o_{p}").isNotNull() if i < d else F.col(f"o_{p}").isNull())
-        on = [F.col(f"o_{k}") == F.col(f"i_{k}") for k in [*equal, *prefix[:d]]]
-        hit = some.join(inner, reduce(lambda a, b: a & b, on))
+    for mask in sorted(r[0] for r in outer.select("__mask").distinct().collect()) or [0]:
+        on = [F.col(f"o_{k}") == F.col(f"i_{k}") for k in [*equal, *(p for i, p in enumerate(prefix) if mask >> i & 1)]]
+        hit = outer.where(F.col("__mask") == mask).drop("__mask").join(inner, reduce(lambda a, b: a & b, on))
         out = hit if out is None else out.unionByName(hit)
     return out
 
@@ -104,14 +105,13 @@ def closure(edges: DataFrame, start: str, end: str, most: int | None = None) ->
     A round doubles the depth reached, d: a shortest way of d + k links, k up to d, has a node after d links, so the pairs exactly
     d apart are joined to all that are up to d apart. Where no pair is exactly d apart, none is farther.
     """
-    from pyspark.sql import SparkSession
-
     spark: SparkSession = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        conf = sc.getConf().get("spark.checkpoint.dir")
+        if not conf and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
     links = edges.select(F.col(start).alias("s"), F.col(end).alias("e")).distinct()
     reached = links.withColumn("depth", F.lit(1)).checkpoint()
     depth, front = 1, reached

@@ -6,8 +6,6 @@ two have nothing in common.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,24 +13,7 @@ from ..functions import dates, keys, text
 from ..operators import acts, relational, sequence
 from ..sources import documents as scan
 from ..sources import pages as html
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def added(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return added
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 def _grouped(number: F.Column) -> F.Column:
     return F.translate(F.format_number(number, 0), ",", ".")
@@ -128,35 +109,39 @@ def self_citation_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     c = table(spark, sf_dir, "customer")
-    inner = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_custkey").alias("i_id"), F.lit("W").alias("i_corpus"), F.col("n_regionkey").alias("i_a"), F.col("n_nationkey").alias("i_b"))
-    rules = r.select(F.col("r_regionkey").alias("o_id"), F.lit("W").alias("o_corpus"), F.col("r_regionkey").alias("o_a"), F.lit(None).cast("int").alias("o_b"))
-    rules = rules.union(n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey") + 100, F.lit("W"), "n_regionkey", "n_nationkey"))
-    return rules, inner
+    inner = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_custkey").alias("i_id"), F.lit("W").alias("i_corpus"), F.col("n_regionkey").alias("i_a"), F.col("n_nationkey").alias("i_b"), F.col("c_mktsegment").alias("i_c"))
+    none = lambda t: F.lit(None).cast(t)
+    rules = r.select(F.col("r_regionkey").alias("o_id"), F.lit("W").alias("o_corpus"), F.col("r_regionkey").alias("o_a"), none("int").alias("o_b"), none("string").alias("o_c"))
+    rules = rules.union(n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey") + 100, F.lit("W"), "n_regionkey", "n_nationkey", none("string")))
+    # a part may be open between two that are set, or before one
+    rules = rules.union(r.select(F.col("r_regionkey") + 200, F.lit("W"), "r_regionkey", none("int"), F.lit("BUILDING")))
+    return rules.union(r.where("r_regionkey = 0").select(F.lit(300), F.lit("W"), none("int"), none("int"), F.lit("MACHINERY"))), inner
 
 
 @query("""
-with c as (select c_custkey, n_regionkey a, n_nationkey b from customer join nation on c_nationkey = n_nationkey),
-r as (select r_regionkey id, r_regionkey a, null::int b from region union all select n_nationkey + 100, n_regionkey, n_nationkey from nation where n_nationkey % 2 = 0)
-select r.id::int as rule, count(*)::bigint as customers, min(c_custkey)::bigint as first from r join c on r.a = c.a and (r.b is null or r.b = c.b) group by 1
+with c as (select c_custkey, n_regionkey a, n_nationkey b, c_mktsegment s from customer join nation on c_nationkey = n_nationkey),
+r as (select r_regionkey id, r_regionkey a, null::int b, null::varchar s from region union all select n_nationkey + 100, n_regionkey, n_nationkey, null from nation where n_nationkey % 2 = 0
+ union all select r_regionkey + 200, r_regionkey, null, 'BUILDING' from region union all select 300, null, null, 'MACHINERY')
+select r.id::int as rule, count(*)::bigint as customers, min(c_custkey)::bigint as first from r join c on (r.a is null or r.a = c.a) and (r.b is null or r.b = c.b) and (r.s is null or r.s = c.s) group by 1
 """)
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, inner = _places(spark, sf_dir)
-    hit = relational.contained_in(rules, inner, ["corpus"], ["a", "b"])
+    hit = relational.contained_in(rules, inner, ["corpus"], ["a", "b", "c"])
     return hit.groupBy(F.col("o_id").cast("int").alias("rule")).agg(F.count(F.lit(1)).cast("long").alias("customers"), F.min("i_id").cast("long").alias("first"))
 
 
 @query("""
-with o as (select o_orderkey id, o_custkey c, case when o_orderpriority like '1%' then null else o_orderstatus end s, case when o_orderpriority like '1%' or o_orderkey % 3 = 0 then null else o_orderpriority end p,
+with o as (select o_orderkey id, o_custkey c, case when o_orderpriority like '1%' or o_orderkey % 5 = 0 then null else o_orderstatus end s, case when o_orderpriority like '1%' or o_orderkey % 3 = 0 then null else o_orderpriority end p,
  case when o_orderkey % 2 = 0 then 'subtree' else 'head' end scope from orders)
 select least(a.id, b.id)::bigint as a_id, greatest(a.id, b.id)::bigint as b_id from o a join o b on a.c = b.c and a.id < b.id
-where (a.s is not distinct from b.s and a.p is not distinct from b.p) or (a.scope = 'subtree' and (a.s is null or a.s = b.s and (a.p is null or a.p = b.p)))
- or (b.scope = 'subtree' and (b.s is null or b.s = a.s and (b.p is null or b.p = a.p)))
+where (a.s is not distinct from b.s and a.p is not distinct from b.p) or (a.scope = 'subtree' and (a.s is null or a.s = b.s) and (a.p is null or a.p = b.p))
+ or (b.scope = 'subtree' and (b.s is null or b.s = a.s) and (b.p is null or b.p = a.p))
 """)
 def overlap_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     first = F.col("o_orderpriority").like("1%")
     ops = o.select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.when(~first, F.col("o_orderstatus")).alias("s"),
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.when(~first & (F.col("o_orderkey") % 5 != 0), F.col("o_orderstatus")).alias("s"),
         F.when(~first & (F.col("o_orderkey") % 3 != 0), F.col("o_orderpriority")).alias("p"), F.when(F.col("o_orderkey") % 2 == 0, "subtree").otherwise("head").alias("scope"),
     )
     return relational.overlapping_keys(ops, ["c"], ["s", "p"])
@@ -164,8 +149,7 @@ def overlap_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select l.l_orderkey, l.l_linenumber, (select max(o2.o_orderdate) from orders o2 where o2.o_custkey = o.o_custkey and o2.o_orderdate < l.l_shipdate)::date as note_date
-from lineitem l join orders o on l.l_orderkey = o.o_orderkey where l.l_linenumber = 1
-""")
+from lineitem l join orders o on l.l_orderkey = o.o_orderkey """)
 def origin_note_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of the key before each row, without a join by range."""
     o = table(spark, sf_dir, "orders")
@@ -324,18 +308,27 @@ def bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.bag_difference(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["l_partkey"])
 
 
-@query("select c_mktsegment, (floor(abs(c_acctbal)) % 1000)::bigint as amount, count(*)::bigint as n from customer group by 1, 2")
+@query("""
+select c_mktsegment, (case when c_acctbal < 0 then '-' else '' end || case when c_custkey % 2 = 0 then replace(format('{:,}', a // 100), ',', '.') else (a // 100)::varchar end || ',' || lpad((a % 100)::varchar, 2, '0')) as amount,
+count(*)::bigint as n from (select *, round(abs(c_acctbal) * 100)::bigint as a from customer) group by 1, 2
+""")
 def money_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts as written, found among percentages and other numbers, and read back."""
+    """Whole amounts as they are written, with and without dots and signs, found among percentages and other numbers."""
     c = table(spark, sf_dir, "customer")
-    whole = (F.floor(F.abs("c_acctbal")) % 1000).cast("long")
-    line = F.concat(F.lit("10,00% de 2024 sobre R$ "), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("1."), F.lpad(whole.cast("string"), 3, "0"))).otherwise(F.lpad(whole.cast("string"), 3, "0")), F.lit(",50 em 3 dias"))
-    amount = F.explode(text.money(line))
-    seen = c.select("c_mktsegment", amount.alias("m")).select("c_mktsegment", F.substring(F.regexp_replace("m", r",\d\d$", ""), -3, 3).cast("long").alias("amount"))
-    return relational.bag(seen, ["c_mktsegment", "amount"])
-
-
-@query("select lang, word, n from (select lang, word, count(*)::bigint n from (select lang, unnest(regexp_extract_all(lower(text), '[a-zà-öø-ÿß]+')) word from documents) group by 1, 2) where n >= 20")
+    cents = F.round(F.abs("c_acctbal") * 100).cast("long")
+    whole = F.expr("div(cents, 100L)")
+    c = c.withColumn("cents", cents)
+    said = F.concat(F.when(F.col("c_acctbal") < 0, "-").otherwise(""), F.when(F.col("c_custkey") % 2 == 0, _grouped(whole)).otherwise(whole.cast("string")), F.lit(","), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
+    line = F.concat(F.lit("10,00%\nem 2024 sobre "), F.when(F.col("c_custkey") % 3 == 0, "R$ ").otherwise(""), said, F.lit(" e 7,5 ou 12,25% em 3 dias"))
+    return relational.bag(c.select("c_mktsegment", F.explode(text.money(line)).alias("amount")), ["c_mktsegment", "amount"])
+
+
+@query(r"""
+with t as (select lang, regexp_split_to_array(text, '\r\n|\r|\n') as ls from documents where text is not null),
+l as (select lang, unnest(ls) as line, unnest(list_concat([''], ls[:-2])) as before from t),
+w as (select lang, regexp_extract_all(line, '[A-Za-zÀ-ÖØ-öø-ÿ]+(?:-[A-Za-zÀ-ÖØ-öø-ÿ]+)*') as ws, regexp_matches(line, '[A-Za-zÀ-ÖØ-öø-ÿ]-\s*$') as behind, regexp_matches(before, '[A-Za-zÀ-ÖØ-öø-ÿ]-\s*$') as ahead from l)
+select lang, word, count(*)::bigint as n from (select lang, lower(unnest(ws[1 + ahead::int : len(ws) - behind::int])) as word from w) group by 1, 2
+""")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each whole word occurs in each language, without the fragments at a line-end hyphen."""
     words = F.explode(text.whole_words(F.split("text", "\r\n|\r|\n"))).alias("word")
@@ -366,19 +359,27 @@ def dedupe_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey, (case o_orderkey % 4 when 0 then o_orderdate::date + (o_orderkey % 120)::int when 1 then (date_trunc('month', o_orderdate) + to_months((o_orderkey % 3 + 1)::int))::date
- when 2 then make_date(year(o_orderdate) + 1, 1, 1) else o_orderdate::date end)::date as effects from orders
+with o as (select o_orderkey, o_orderdate::date as d, o_orderkey % 8 as k from orders)
+select o_orderkey, (case k when 0 then d + (o_orderkey % 120 + 1)::int when 1 then (date_trunc('month', d) + to_months((o_orderkey % 4 + 1)::int))::date when 2 then make_date(year(d) + 1, 1, 1) when 3 then d
+ when 4 then d + 90 when 5 then null when 6 then d when 7 then d end)::date as effects, case when k = 6 then (d + 100)::date end::date as until from o
 """)
 def dates_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of effect in figures and words, counted from the publication, as a period, or not from it at all."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("pub"))
-    nth = F.element_at(F.array(*map(F.lit, ("primeiro", "segundo", "terceiro"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    k = F.col("o_orderkey") % 8
+    nth = F.element_at(F.array(*map(F.lit, ("", "segundo ", "terceiro ", "quarto "))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     clause = (
-        F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("produz efeitos "), (F.col("o_orderkey") % 120).cast("string"), F.lit(" dias após a publicação")))
-        .when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("no primeiro dia do "), nth, F.lit(" mês subsequente ao da publicação")))
-        .when(F.col("o_orderkey") % 4 == 2, "a partir de 1º de janeiro do ano subsequente ao da publicação")
-        .otherwise("entra em vigor na data de sua publicação")
+        F.when(k == 0, F.concat(F.lit("produz efeitos em "), (F.col("o_orderkey") % 120 + 1).cast("string"), F.lit(" (tantos) dias após a publicação")))
+        .when(k == 1, F.concat(F.lit("no primeiro dia do "), nth, F.lit("mês subsequente ao da publicação")))
+        .when(k == 2, "a partir de 1º de janeiro do ano subsequente ao da publicação")
+        .when(k == 3, "entra em vigor na data de sua publicação")
+        .when(k == 4, "noventa dias contados da data de sua publicação")
+        .when(k == 5, "até a data de sua publicação")
+        .when(k == 6, F.concat(F.lit("efeitos de "), dates.brazilian(F.col("pub")), F.lit(" a "), dates.brazilian(F.date_add("pub", 100))))
+        .otherwise(F.concat(F.lit("efeitos a partir de "), F.date_format("pub", "d/MM/yyyy"), F.lit(", ou de 31.02.2020")))
     )
-    return o.select("o_orderkey", dates.effect_date(clause, F.col("pub")).alias("effects"))
+    found = F.get(dates.dates_in(clause, F.col("pub")), F.lit(0))
+    return o.select("o_orderkey", found.alias("x")).select("o_orderkey", F.col("x.date").alias("effects"), F.col("x.until").alias("until"))
 
 
 @query("select o_orderkey, o_orderdate::date as read from orders")
@@ -397,7 +398,7 @@ def roman_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1, 4000).select(F.col("id").cast("int").alias("n"), text.roman_value(text.roman(F.col("id"))).cast("int").alias("read"))
 
 
-@query("select doc_id, upper(strip_accents(trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g')))) as folded from documents where lang <> 'de'")
+@query("select doc_id, upper(strip_accents(trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g')))) as folded from documents")
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.norm_upper(F.col("text")).alias("folded"))
 
@@ -463,8 +464,8 @@ def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with recursive e as (select p_partkey s, (p_partkey * 7 + 3) % 1000 + 1 e from part where p_partkey % 4 <> 0),
-r as (select s, e, 1 d from e union select r.s, e.e, r.d + 1 from r join e on r.e = e.s where r.d < 4)
+with recursive e as (select p_partkey s, (p_partkey * 7 + 3) % 1000 + 1 e from part),
+r as (select s, e, 1 as d, [e] as seen from e union all select r.s, e.e, r.d + 1, list_append(r.seen, e.e) from r join e on r.e = e.s where not list_contains(r.seen, e.e))
 select s, e, min(d)::int as depth from r group by 1, 2
 """)
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,7 +474,7 @@ def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with v as (select p_partkey k, p_type t, date '1990-01-01' d from part union all select l_partkey, max_by(case when l_returnflag = 'R' then null else l_linestatus || l_linenumber end, row(l_orderkey, l_linenumber)), l_shipdate::date from lineitem where l_quantity > 45 group by l_partkey, l_shipdate::date)
+with v as (select p_partkey k, p_type t, date '1990-01-01' d from part union all select l_partkey, max_by(case when l_returnflag = 'R' then null else l_linestatus || l_linenumber end, row(l_orderkey, l_linenumber)), l_shipdate::date from lineitem group by l_partkey, l_shipdate::date)
 select k as p_partkey, t as wording, d as effects, (lead(d) over (partition by k order by d) - 1)::date as until, lead(d) over (partition by k order by d) is null and t is not null as is_current from v
 """.replace("max_by(case when l_returnflag = 'R' then null else l_linestatus || l_linenumber end, row(l_orderkey, l_linenumber))", "(max(row(l_orderkey, l_linenumber, case when l_returnflag = 'R' then null else l_linestatus || l_linenumber end)))[3]"))
 def scd2_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,20 +511,22 @@ def reference_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select l_orderkey, l_linenumber, 0 as level, l_partkey::varchar || case when l_linenumber % 2 = 0 then '-B' else '' end as number from lineitem where l_linenumber < 3
+select l_orderkey, l_linenumber, 0 as level, l_partkey::varchar || case when l_linenumber % 2 = 0 then case when l_orderkey % 2 = 0 then '-B' else '-AA' end else '' end as number from lineitem where l_linenumber < 3
 union all select l_orderkey, l_linenumber, 1, case when l_orderkey % 3 = 0 then 'UNICO' else l_linenumber::varchar end from lineitem where l_linenumber = 3
 union all select l_orderkey, l_linenumber, 3, chr((97 + l_orderkey % 26)::int) from lineitem where l_linenumber = 4
-union all select l_orderkey, l_linenumber, 4, l_linenumber || '.' || (l_orderkey % 9) from lineitem where l_linenumber > 4
+union all select l_orderkey, l_linenumber, 4, l_linenumber || '.' || (l_orderkey % 9) from lineitem where l_linenumber in (5, 6)
+union all select l_orderkey, l_linenumber, 2, case when l_orderkey % 2 = 0 then 'XIV-A' else 'XLIV' end from lineitem where l_linenumber > 6
 """)
 def provision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of provisions, rendered in legal style and read back."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     n = F.col("l_linenumber")
     line = (
-        F.when(n < 3, F.concat(F.lit("“Art. 0"), F.col("l_partkey").cast("string"), F.when(n % 2 == 0, "-b").otherwise(F.lit("")), F.lit(". Texto")))
+        F.when(n < 3, F.concat(F.lit("“Art. 0"), F.col("l_partkey").cast("string"), F.when((n % 2 == 0) & (F.col("l_orderkey") % 2 == 0), "-b").when(n % 2 == 0, "-AA").otherwise(F.lit("")), F.lit(". Texto")))
         .when((n == 3) & (F.col("l_orderkey") % 3 == 0), "Parágrafo único. Texto")
         .when(n == 3, F.concat(F.lit("§ "), n.cast("string"), F.lit("º - Texto")))
         .when(n == 4, F.concat(F.char((F.lit(97) + F.col("l_orderkey") % 26).cast("int")), F.lit(") texto")))
+        .when(n > 6, F.when(F.col("l_orderkey") % 2 == 0, "XIV-A - texto").otherwise("XLIV – texto"))
         .otherwise(F.concat(n.cast("string"), F.lit("."), (F.col("l_orderkey") % 9).cast("string"), F.lit(". texto")))
     )
     return li.select("l_orderkey", "l_linenumber", text.label(line).alias("x")).select("l_orderkey", "l_linenumber", "x.level", "x.number")
@@ -546,4 +549,9 @@ def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(
         F.lit("a alínea “"), F.char((F.lit(97) + k % 5).cast("int")), F.lit("” dos incisos I a III do § "), (k % 9 + 1).cast("string"), F.lit("º do art. "), (k % 150 + 1).cast("string"), F.lit(" da Lei nº 5.530")
     )
-    return o.select("o_orderkey", F.explode(acts.references(said)).alias("r")).select("o_orderkey", "r.article", "r.paragraph", "r.inciso", "r.alinea")
+    got = acts.references(o.select("o_orderkey", said.alias("said")), ["o_orderkey"], "said")
+    return got.select("o_orderkey", "article", "paragraph", "inciso", "alinea")
+
+
+# the modules that follow add their queries to the same catalogue
+from . import changes, drafting, layout  # noqa: E402, F401

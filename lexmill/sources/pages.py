@@ -12,28 +12,37 @@ from pyspark.sql import functions as F
 
 # Elements that end a paragraph.
 PARAGRAPHS = frozenset("p div article section li ul ol h1 h2 h3 h4 h5 h6 blockquote footer header nav aside main body table tr".split())
+#: Columns that a cell may span.
+MOST_ACROSS = 1000
 HIDDEN = frozenset("script style noscript title head".split())
 SCHEMA = "seq int, kind string, text string, cells array<array<string>>, merges array<struct<r0:int,c0:int,r1:int,c1:int>>, src string"
 
 
 def grid(rows: list[list[tuple[str, int, int]]]) -> tuple[list[list[str]], list[tuple[int, int, int, int]]]:
-    """Cells with spans to a full matrix, with the merged areas; what a span covers is empty. Rows without a cell of text go."""
-    taken: dict[tuple[int, int], str] = {}
-    merges = []
-    for r, row in enumerate(rows):
+    """Cells with spans to a full matrix, with the merged areas; what a span covers is empty. Rows where no cell begins go.
+
+    A cell spans MOST_ACROSS columns at most, as in browsers, and no more rows than there are.
+    """
+    owned = [r for r, row in enumerate(rows) if row]
+    place = {r: i for i, r in enumerate(owned)}
+    texts: dict[tuple[int, int], str] = {}
+    covered: set[tuple[int, int]] = set()
+    merges, width = [], 0
+    for r in owned:
         c = 0
-        for text, down, across in row:
-            while (r, c) in taken:
+        for text, down, across in rows[r]:
+            while (place[r], c) in covered:
                 c += 1
-            down = min(down, len(rows) - r)
-            for i in range(down):
-                for j in range(across):
-                    taken[r + i, c + j] = "" if i or j else text
-            if down > 1 or across > 1:
-                merges.append((r, c, r + down - 1, c + across - 1))
+            # rows that go do not count among those that a cell spans
+            last = max(place[x] for x in owned if r <= x < r + down)
+            across = min(across, MOST_ACROSS)
+            texts[place[r], c] = text
+            covered.update((i, j) for i in range(place[r], last + 1) for j in range(c, c + across))
+            if last > place[r] or across > 1:
+                merges.append((place[r], c, last, c + across - 1))
             c += across
-    width = max((c for _, c in taken), default=-1) + 1
-    return [[taken.get((r, c), "") for c in range(width)] for r in range(len(rows))], merges
+            width = max(width, c)
+    return [[texts.get((i, c), "") for c in range(width)] for i in range(len(owned))], merges
 
 
 class _Reader(HTMLParser):

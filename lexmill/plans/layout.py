@@ -75,7 +75,7 @@ def lines_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with p as (select p_partkey, (400 + p_size)::double w, 600.0::double h from part), i as (select l_partkey, l_quantity * 12 - 60 as x0, l_quantity * 12 + l_linenumber * 40 as x1, l_discount * 5000 as top, l_discount * 5000 + 300 as bottom from lineitem where l_linenumber < 3)
-select p_partkey, round(least(coalesce(sum(greatest(least(x1, w) - greatest(x0, 0), 0) * greatest(least(bottom, h) - greatest(top, 0), 0)), 0) / (w * h), 1), 6) as coverage from p left join i on p_partkey = l_partkey group by p_partkey, w, h
+select p_partkey, round(least(coalesce(sum(greatest(least(x1, w) - greatest(x0, 0), 0) * greatest(least(bottom, h) - greatest(top, 0), 0)) filter (l_partkey is not null), 0) / (w * h), 1), 6) as coverage from p left join i on p_partkey = l_partkey group by p_partkey, w, h
 """)
 def image_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "part").select("p_partkey", F.expr("double(400 + p_size)").alias("width"), F.lit(600.0).alias("height"))

@@ -22,6 +22,8 @@ BUCKETS = 1 << 20
 #: Rows of the tables of random numbers, and bits that choose a row.
 _TABLE_BITS = 14
 _CHUNK = 1 << 12
+#: Parts of a group's elements that meet the group's size apart, so that no task reads the elements of all of a large group.
+PARTS = 64
 #: Tasks that follow links to components: at least so many, and one for so many links.
 LEAST_TASKS, TASK_LINKS = 16, 500_000
 #: A pair at the threshold agrees in fewer samples than this but for 1 in 100,000.
@@ -252,9 +254,10 @@ def common_elements(members: DataFrame, idf: np.ndarray) -> DataFrame:
             data = [b"".join(np.array(z, kind).tobytes() for z, kind in zip(zip(*r, strict=True), ("i8", "f8", "i8"), strict=True)) for r in rows]
             yield pd.DataFrame({"g": part["g"], "common": data})
 
-    size = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    part = F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")
+    size = members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).select("g", "size", F.explode(part).alias("part"))
     counts = members.select("g", "text").mapInPandas(held, "g binary, element long, w double, n long").groupBy("g", "element").agg(F.sum("n").alias("n"), F.max("w").alias("w"))
-    most = counts.join(size, "g").where("2 * n > size").groupBy("g").agg(F.collect_list(F.struct("element", "w", (F.col("size") - F.col("n")).alias("missing"))).alias("c"))
+    most = counts.withColumn("part", F.pmod("element", F.lit(PARTS))).join(size, ["g", "part"]).where("2 * n > size").groupBy("g").agg(F.collect_list(F.struct("element", "w", (F.col("size") - F.col("n")).alias("missing"))).alias("c"))
     return most.mapInPandas(packed, "g binary, common binary")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import language, linededup, mixing, neardup, sentencepieces
-from lexmill.llm.common import checkpoint_dir, table
+from lexmill.llm.common import checkpoint_dir, few_rows, table
 from lexmill.llm.queries import pieces_model
 
 #: Documents whose language is less sure than this go.
@@ -17,6 +17,7 @@ LEAST_SCORE = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from them; those without letters, and those that are like no language, go."""
+    few_rows(spark)
     found = docs.select(F.struct("*").alias("row"), language.language_column(F.col("text"), language.train(docs)).alias("found"))
     return found.where(f"found.lang != '{language.UNKNOWN}' and found.score >= {LEAST_SCORE}").select("row.*")
 
@@ -38,6 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each document of the mix."""
+    few_rows(spark)
     return sentencepieces.encode_documents(docs, pieces_model())
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, discard, release, token_hashes, written
+from .common import checkpoint, discard, few_rows, release, slices, token_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -22,6 +22,8 @@ BUCKETS = 1 << 20
 #: Rows of the tables of random numbers, and bits that choose a row.
 _TABLE_BITS = 14
 _CHUNK = 1 << 12
+#: Characters of the texts that are cut into shingles at a time, whatever a batch holds; memory is some twenty times that, besides the result.
+CUT_CHARS = 1 << 19
 #: Parts of a group's elements that meet the group's size apart, so that no task reads the elements of all of a large group.
 PARTS = 64
 #: Tasks that follow links to components: at least so many, and one for so many links.
@@ -46,8 +48,17 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct shingles of the texts: index of the text (ascending), 64-bit hash (ascending within it), number of times.
 
-    A text of fewer than SHINGLE words has one shingle of all of them; one without words has none.
+    A text of fewer than SHINGLE words has one shingle of all of them; one without words has none. Texts are cut a few at a time.
     """
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for some in slices(texts, CUT_CHARS):
+        text, s, count = _shingles(texts[some])
+        parts.append((text + some.start, s, count))
+    text, s, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return text, s, count
+
+
+def _shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, text = token_hashes(texts, runs=False)
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -83,9 +94,11 @@ def shingle_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(BUCKETS, np.int32), 0
         for part in parts:
-            text, s, _ = shingles(list(part.iloc[:, 0]))
-            np.add.at(total, frequency_bucket(s), np.int32(1))
-            n += len(np.unique(text))
+            texts = list(part.iloc[:, 0])
+            for some in slices(texts, CUT_CHARS):
+                text, s, _ = shingles(texts[some])
+                np.add.at(total, frequency_bucket(s), np.int32(1))
+                n += len(np.unique(text))
         made = [(int(i // _CHUNK), total[i : i + _CHUNK].tobytes()) for i in range(0, BUCKETS, _CHUNK) if total[i : i + _CHUNK].any()]
         yield pd.DataFrame([*made, (-1, np.array([n], np.int64).tobytes())], columns=["chunk", "sums"])
 
@@ -333,6 +346,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     are kept only if all of their class are null. Rows that repeat an id and its text have the same result. An empty table
     gives an empty result.
     """
+    few_rows(docs.sparkSession)
     texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     frequency, n = shingle_frequencies(texts.select("text"))
     idf = inverse_frequencies(frequency, n)
@@ -340,7 +354,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     @F.pandas_udf("keys array<long>, sign binary")
     def sampled(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            own = [signatures(list(part[i : i + 128]), idf) for i in range(0, len(part), 128)]
+            texts = list(part)
+            own = [signatures(texts[some], idf) for some in slices(texts, CUT_CHARS)]
             sig = np.concatenate(own) if own else np.zeros((0, SAMPLES), np.uint64)
             worded = sig.any(axis=1)
             keys = [list(k) if w else [] for k, w in zip(band_keys(sig), worded, strict=True)]

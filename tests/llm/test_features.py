@@ -90,3 +90,31 @@ def test_pruning_changes_no_result(monkeypatch):
     docs, scores = shard.top(words, weights, 7)
     assert docs.tolist() == [d for d, _ in want] and np.allclose(scores, [s for _, s in want])
     assert len(shard.top(words, weights, 7, want[0][1] * 2)[0]) == 0
+
+
+def test_a_batch_of_queries_scores_few_documents(monkeypatch):
+    """Each query of a batch gets what it gets alone and by brute force; blocks are of documents that are alike, so most are never scored."""
+    r = random.Random(3)
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "LEAST_SHARE", 10)
+    texts = [" ".join(f"{'abcd'[i % 4]}{int(r.random() ** 2 * 70)}" for _ in range(r.randrange(20, 60))) for i in range(640)]
+    texts[601] = texts[40]
+    shard = search.Shard(search.packed(list(range(640)), texts), 40.0)
+    text, t, n = search.counted(texts)
+    length = np.bincount(text, n, minlength=640)
+    queries = [(t[text == q], n[text == q] * np.linspace(1, 2, (text == q).sum())) for q in range(0, 640, 20)]
+    got = shard.tops(queries, 5, np.zeros(len(queries)))
+    for (words, weights), (docs, scores) in zip(queries, got, strict=True):
+        weight = dict(zip(words, weights, strict=True))
+        all_scores = np.zeros(640)
+        for d, w, c in zip(text, t, n, strict=True):
+            all_scores[d] += weight.get(w, 0.0) * (c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length[d] / 40.0)))
+        want = sorted(range(640), key=lambda d: (-all_scores[d], d))[:5]
+        assert docs.tolist() == want and np.allclose(scores, all_scores[want], rtol=1e-12)
+        assert docs.tolist() == shard.top(words, weights, 5)[0].tolist()
+    # the two equal texts have equal scores to the last bit
+    docs, scores = got[2]
+    assert docs.tolist()[:2] == [40, 601] and scores[0] == scores[1]
+    # documents of other kinds have no common word, and no block mixes kinds but at the edges of clusters
+    kinds = np.array([i % 4 for i in shard.order]).reshape(-1, 8)
+    assert sum(len(set(k)) > 1 for k in kinds.tolist()) <= search.CLUSTERS

@@ -193,7 +193,7 @@ def components(edges: DataFrame) -> DataFrame:
     # as many tasks as the links need: rounds over few links would else leave many small files
     tasks = max(LEAST_TASKS, links.count() // TASK_LINKS)
     links = links.coalesce(tasks)
-    both, _ = written(links.union(links.select("a", F.col("a").alias("b")).distinct()).coalesce(tasks))
+    both, pairs = written(links.union(links.select("a", F.col("a").alias("b")).distinct()).coalesce(tasks))
     roots, last = written(both.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").coalesce(tasks))
     while True:
         near = both.join(roots, both["b"] == roots["node"]).select("a", "b", "root").coalesce(tasks)
@@ -205,6 +205,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(spark, last)
         last = where
         if not changed:
+            discard(spark, pairs)
             return roots
 
 
@@ -398,7 +399,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
 def keep_one_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The documents, with their columns, less the near-duplicates of one that stays; of rows that repeat an id and its text, one."""
-    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("id"), F.col("fp").alias("of")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", fingerprint(F.col("text")).alias("fp"))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["id"]) & (rows["fp"] == kept["of"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "fp"]).select("row.*")
+    # one key for the join and for repeats, so that the whole rows are exchanged once only
+    key = F.struct("doc_id", "fp").alias("key")
+    kept = near_duplicates(docs, threshold).where("kept").select(key).distinct()
+    release(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", fingerprint(F.col("text")).alias("fp")).select("row", key)
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

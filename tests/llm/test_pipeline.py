@@ -1,5 +1,6 @@
 """Each stage of the pipeline on its own input, and the whole, by what must hold of the rows."""
 
+import re
 import tracemalloc
 from collections import Counter
 
@@ -54,6 +55,25 @@ def test_near_duplicate_stage(spark, docs):
     assert kept.count() == classes.select("class_id").distinct().count()
 
 
+def test_near_duplicate_stage_exchanges_rows_once(spark, docs, tmp_path):
+    """Whole rows are as large as the input; exchanged once for the join and again for repeats, they took the stage over its disk."""
+    docs = docs.drop("row")
+    docs.unionByName(docs.where("doc_id is null or doc_id < 50")).write.parquet(f"{tmp_path}/twice")
+    kept = STAGES["minhash_near_dedup"](spark, spark.read.parquet(f"{tmp_path}/twice"), DIR)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = spark._jvm.PythonSQLUtils.explainString(kept.select("*")._jdf.queryExecution(), "formatted")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    inputs = re.findall(r"\) Exchange *\nInput[^\n]*", plan)
+    assert sum(bool(re.search(r"\b(row|first)#", x)) for x in inputs) == 1
+    assert kept.exceptAll(docs).isEmpty() and kept.count() == neardup.near_duplicates(docs).select("class_id").distinct().count()
+
+
 def test_mixing_stage(spark, docs):
     mixed = STAGES["source_mixing"](spark, docs, DIR)
     assert mixed.columns == docs.columns and mixed.distinct().exceptAll(docs.distinct()).isEmpty()

@@ -118,3 +118,24 @@ def test_a_batch_of_queries_scores_few_documents(monkeypatch):
     # documents of other kinds have no common word, and no block mixes kinds but at the edges of clusters
     kinds = np.array([i % 4 for i in shard.order]).reshape(-1, 8)
     assert sum(len(set(k)) > 1 for k in kinds.tolist()) <= search.CLUSTERS
+
+
+def test_rare_words_in_different_documents_do_not_add_up(monkeypatch):
+    """A block's bound is of what rare words give to one of its documents, not of each word's best; a block under the threshold is not scored."""
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "COLUMNS", 1)
+    texts = [f"all r{i % 4} s{i}" for i in range(64)]
+    shard = search.Shard(search.packed(list(range(64)), texts), 3.0)
+    scored = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, key):
+            scored.append(key)
+            return super().__getitem__(key)
+
+    words = np.sort(np.unique(search.terms(["all r0 r1 r2 r3"])[0]))
+    docs, scores = shard.top(words, np.ones(5), 64)
+    assert len(docs) == 64 and np.ptp(scores) == 0
+    shard.dense = shard.dense.view(Watched)
+    assert not len(shard.top(words, np.ones(5), 64, scores[0] * 1.2)[0]) and not scored
+    assert shard.top(words, np.ones(5), 64, scores[0] * 0.99)[0].tolist() == docs.tolist() and scored

@@ -139,3 +139,34 @@ def test_rare_words_in_different_documents_do_not_add_up(monkeypatch):
     shard.dense = shard.dense.view(Watched)
     assert not len(shard.top(words, np.ones(5), 64, scores[0] * 1.2)[0]) and not scored
     assert shard.top(words, np.ones(5), 64, scores[0] * 0.99)[0].tolist() == docs.tolist() and scored
+
+
+def test_groups_of_queries_share_a_reading_of_the_index(spark, monkeypatch):
+    """The index is read twice, for the parts searched ahead and for the others, not twice for each group of queries; results are the same."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{int(r.random() ** 2 * 90)}" for _ in range(r.randrange(1, 40)))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = sorted(search.search(docs, docs.where("doc_id % 5 = 0")).collect())
+    readings, plain = [], search._finder
+    monkeypatch.setattr(search, "_finder", lambda *args: readings.append(args) or plain(*args))
+    monkeypatch.setattr(search, "QUERY_WORDS", 200)
+    assert sorted(search.search(docs, docs.where("doc_id % 5 = 0")).collect()) == one and len(readings) == 2
+    assert len(readings[0][0]) > 2
+    monkeypatch.setattr(search, "GROUPS", 2)
+    assert sorted(search.search(docs, docs.where("doc_id % 5 = 0")).collect()) == one and len(readings) > 4
+
+
+def test_blocks_side_by_side_are_scored_once(monkeypatch):
+    """Blocks beside those that set the first threshold are scored with them, and not again when the others are tried."""
+    r = random.Random(8)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 3)
+    texts = [" ".join(f"w{int(r.random() ** 2 * 40)}" for _ in range(r.randrange(5, 30))) for _ in range(203)]
+    shard = search.Shard(search.packed(list(range(203)), texts), 17.0)
+    text, t, n = search.counted(texts)
+    queries = [(t[text == q], n[text == q].astype(float)) for q in range(0, 203, 7)]
+    got = shard.tops(queries, 5, np.zeros(len(queries)))
+    monkeypatch.setattr(search, "SIDE", 1)
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 10**6)
+    want = shard.tops(queries, 5, np.zeros(len(queries)))
+    assert all(a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() for a, b in zip(got, want, strict=True))

@@ -150,6 +150,7 @@ def test_groups_of_queries_share_a_reading_of_the_index(spark, monkeypatch):
     readings, plain = [], search._finder
     monkeypatch.setattr(search, "_finder", lambda *args: readings.append(args) or plain(*args))
     monkeypatch.setattr(search, "QUERY_WORDS", 200)
+    monkeypatch.setattr(search, "GROUPS", 8, raising=False)
     assert sorted(search.search(docs, docs.where("doc_id % 5 = 0")).collect()) == one and len(readings) == 2
     assert len(readings[0][0]) > 2
     monkeypatch.setattr(search, "GROUPS", 2)
